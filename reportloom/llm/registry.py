@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reportloom.llm import queries_mixing
+from reportloom.llm import queries_mixing, queries_substring
 
-QUERIES = {"op4_mix_sources": queries_mixing.op4_mix_sources}
-ORACLES = {**queries_mixing.ORACLE}
+QUERIES = {"op4_mix_sources": queries_mixing.op4_mix_sources, "op5_substring_dedup": queries_substring.op5_substring_dedup}
+ORACLES = {**queries_mixing.ORACLE, **queries_substring.ORACLE}

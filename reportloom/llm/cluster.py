@@ -36,3 +36,15 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def salted_join(rows: DataFrame, key: str, info: DataFrame, how: str = "left") -> DataFrame:
+    """``rows`` joined with ``info`` (one row per ``key``) although one key may hold most of the rows.
+
+    Rows of a key are dealt to as many parts as there are shuffle partitions; a key's info is copied only to the parts
+    that its rows are in.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = rows.withColumn("__part", F.pmod(F.xxhash64(*rows.columns), F.lit(parts)))
+    spread = salted.select(key, "__part").distinct().join(info, key, how)
+    return salted.join(spread, [key, "__part"], how).drop("__part")

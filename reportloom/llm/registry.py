@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from reportloom.llm import queries_decontaminate, queries_html, queries_mixing, queries_near, queries_substring, queries_warc
+from reportloom.llm import queries_decontaminate, queries_html, queries_language, queries_mixing, queries_near, queries_substring, queries_warc
 
 QUERIES = {
     "op1_near_duplicates": queries_near.op1_near_duplicates,
+    "op3_language_id": queries_language.op3_language_id,
     "op4_mix_sources": queries_mixing.op4_mix_sources,
     "op5_substring_dedup": queries_substring.op5_substring_dedup,
     "op6_benchmark_leaks": queries_decontaminate.op6_benchmark_leaks,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from reportloom.llm import queries_decontaminate, queries_html, queries_language, queries_mixing, queries_near, queries_quality, queries_substring, queries_warc
+from reportloom.llm import queries_decontaminate, queries_html, queries_language, queries_licences, queries_mixing, queries_near, queries_quality, queries_substring, queries_warc
 
 QUERIES = {
     "op1_near_duplicates": queries_near.op1_near_duplicates,
+    "op2_license_scan": queries_licences.op2_license_scan,
     "op3_language_id": queries_language.op3_language_id,
     "op4_mix_sources": queries_mixing.op4_mix_sources,
     "op5_substring_dedup": queries_substring.op5_substring_dedup,
@@ -14,4 +15,4 @@ QUERIES = {
     "op9_warc_archive": queries_warc.op9_warc_archive,
     "op10_html_text": queries_html.op10_html_text,
 }
-ORACLES = {**queries_mixing.ORACLE, **queries_substring.ORACLE, **queries_warc.ORACLE}
+ORACLES = {**queries_licences.ORACLE, **queries_mixing.ORACLE, **queries_substring.ORACLE, **queries_warc.ORACLE}

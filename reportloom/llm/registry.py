@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reportloom.llm import queries_decontaminate, queries_html, queries_language, queries_licences, queries_mixing, queries_near, queries_quality, queries_substring, queries_warc
+from reportloom.llm import queries_decontaminate, queries_html, queries_language, queries_licences, queries_mixing, queries_near, queries_quality, queries_spotsigs, queries_substring, queries_warc
 
 QUERIES = {
     "op1_near_duplicates": queries_near.op1_near_duplicates,
@@ -11,8 +11,9 @@ QUERIES = {
     "op4_mix_sources": queries_mixing.op4_mix_sources,
     "op5_substring_dedup": queries_substring.op5_substring_dedup,
     "op6_benchmark_leaks": queries_decontaminate.op6_benchmark_leaks,
+    "op7_spotsigs_fingerprints": queries_spotsigs.op7_spotsigs_fingerprints,
     "op8_quality_grade": queries_quality.op8_quality_grade,
     "op9_warc_archive": queries_warc.op9_warc_archive,
     "op10_html_text": queries_html.op10_html_text,
 }
-ORACLES = {**queries_licences.ORACLE, **queries_mixing.ORACLE, **queries_substring.ORACLE, **queries_warc.ORACLE}
+ORACLES = {**queries_licences.ORACLE, **queries_mixing.ORACLE, **queries_substring.ORACLE, **queries_spotsigs.ORACLE, **queries_warc.ORACLE}

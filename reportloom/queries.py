@@ -1,4 +1,8 @@
-"""Registry of the engine's queries."""
+"""All queries of the engine and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from reportloom.plans import q_scalars  # noqa: F401
+from reportloom.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

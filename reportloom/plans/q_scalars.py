@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reportloom.functions import text as t
 from reportloom.functions import verdicts as v
+from reportloom.operators.synonyms import SYNONYMS, apply_synonyms
 from reportloom.plans.bindings import TERMS, Views
 from reportloom.plans.registry import query
 
@@ -98,3 +99,9 @@ def _(q: Views) -> DataFrame:
     """Prices of a million tokens in and out: 0.075 and 0.30. Fixed values."""
     sums = q.table("lineitem").groupBy("l_returnflag").agg(F.sum(F.col("l_quantity").cast("long")).alias("tokens_in"), F.sum(F.col("l_linenumber").cast("long")).alias("tokens_out"))
     return sums.withColumn("cost", F.round(F.col("tokens_in") * 0.075 / 1000000 + F.col("tokens_out") * 0.3 / 1000000, 9))
+
+
+_syn = "zh"
+for _a, _b in dict(SYNONYMS).items():
+    _syn = f"replace({_syn}, '{_a}', '{_b}')"
+_scalar("x22_synonyms", "zh", apply_synonyms, _syn)

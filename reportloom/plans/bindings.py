@@ -53,9 +53,9 @@ CTES = {
     "rows_": """rows_ AS (SELECT doc_id, page_number, seq, CASE WHEN page_number = 1 AND seq % 3 = 1 THEN ['Clause', 'Requirement + Test', 'Result - Remark', 'Verdict']
       WHEN seq % 5 = 0 THEN [clause_id, verdict_raw] WHEN seq % 5 = 1 THEN [clause_id, requirement, verdict_raw] WHEN seq % 5 = 2 THEN [requirement, clause_id, result_remark, verdict_raw]
       WHEN seq % 5 = 3 THEN ['', '4', requirement, ''] ELSE [clause_id, requirement, result_remark, verdict_raw] END AS cells FROM auto)""",
-    "boxes": """boxes AS (SELECT rep_id, page_number, line_no, word_no, w AS text, 6.0::DOUBLE * at AS x0, 6.0::DOUBLE * (at + length(w)) AS x1, 12.0::DOUBLE * line_no + (word_no % 3) AS top, 12.0::DOUBLE * line_no + (word_no % 3) + 10 AS bottom FROM (
+    "boxes": """boxes AS (SELECT rep_id, page_number, line_no, word_no, w AS text, 6.0::DOUBLE * cpos AS x0, 6.0::DOUBLE * (cpos + length(w)) AS x1, 12.0::DOUBLE * line_no + (word_no % 3) AS top, 12.0::DOUBLE * line_no + (word_no % 3) + 10 AS bottom FROM (
       SELECT rep_id, page_number, line_no, w, row_number() OVER (PARTITION BY rep_id, page_number, line_no ORDER BY k) - 1 AS word_no,
-        coalesce(sum(length(w) + 1) OVER (PARTITION BY rep_id, page_number, line_no ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+        coalesce(sum(length(w) + 1) OVER (PARTITION BY rep_id, page_number, line_no ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cpos
       FROM (SELECT rep_id, page_number, line_no, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM (SELECT *, string_split(line, ' ') AS ws FROM lines)) WHERE w <> ''))""",
     "energy": """energy AS (SELECT user_id, event_id, ts, CASE event_id % 6 WHEN 0 THEN 'ES1 mains ☑' WHEN 1 THEN 'ps2 resistive lamp' WHEN 2 THEN 'moving parts [x] Thermal energy source' WHEN 3 THEN 'surface internal √' WHEN 4 THEN 'laser LED X-ray' ELSE event_type END AS line FROM events)""",
     "hits": """hits AS (SELECT doc_id, clause_id, requirement, result_remark, verdict_raw AS verdict, page_number, CASE WHEN seq % 2 = 0 THEN 0 ELSE 1 END AS pass, seq FROM auto)""",

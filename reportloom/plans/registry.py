@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,19 @@ ORACLES: dict[str, str] = {}
 
 
 def with_ctes(names: str, sql: str) -> str:
-    return ("WITH " + ", ".join(CTES[n] for n in names.split()) + " " + sql) if names else sql
+    """``sql`` under the named views and those that they read."""
+    wanted: list[str] = []
+
+    def add(name: str) -> None:
+        if name not in wanted:
+            for other in CTES:
+                if other != name and re.search(rf"\b(FROM|JOIN) {other}\b", CTES[name]):
+                    add(other)
+            wanted.append(name)
+
+    for name in names.split():
+        add(name)
+    return ("WITH " + ", ".join(CTES[n] for n in wanted) + " " + sql) if wanted else sql
 
 
 def query(name: str, ctes: str = "", sql: str | None = None):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reportloom.plans import q_compare, q_reports, q_scalars  # noqa: F401
+from reportloom.plans import q_compare, q_reports, q_scalars, q_terms  # noqa: F401
 from reportloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

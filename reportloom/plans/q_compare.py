@@ -161,7 +161,7 @@ def _(q: Views) -> DataFrame:
     return q.table("orders").groupBy("o_orderstatus").agg(c.ratio(F.count_if(F.col("o_orderkey") % 9 > 0), F.count("*")).alias("rate"))
 
 
-@query("a24_token_totals", "", "SELECT o_custkey, sum(length(o_orderpriority)) AS tokens_in, count(*) AS calls, round(sum(length(o_orderpriority)) * 0.075::DOUBLE / 1000000, 9) AS cost FROM orders GROUP BY 1")
+@query("a24_token_totals", "", "SELECT o_custkey, CAST(sum(length(o_orderpriority)) AS BIGINT) AS tokens_in, count(*) AS calls, round(sum(length(o_orderpriority)) * 0.075::DOUBLE / 1000000, 9) AS cost FROM orders GROUP BY 1")
 def _(q: Views) -> DataFrame:
     tokens = F.sum(F.length("o_orderpriority"))
     return q.table("orders").groupBy("o_custkey").agg(tokens.alias("tokens_in"), F.count("*").alias("calls"), F.round(tokens * 0.075 / 1000000, 9).alias("cost"))

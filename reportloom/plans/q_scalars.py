@@ -94,7 +94,7 @@ def _(q: Views) -> DataFrame:
     return q.sample.groupBy("zh", "zh2").agg(F.count("*").alias("n")).withColumn("fixed", F.when(a & b, 1.0).when(a | b, 0.0))
 
 
-@query("x29_cost_estimate", "", "SELECT l_returnflag, sum(CAST(l_quantity AS BIGINT)) AS tokens_in, sum(CAST(l_linenumber AS BIGINT)) AS tokens_out, round(sum(CAST(l_quantity AS BIGINT)) * 0.075::DOUBLE / 1000000 + sum(CAST(l_linenumber AS BIGINT)) * 0.3::DOUBLE / 1000000, 9) AS cost FROM lineitem GROUP BY 1")
+@query("x29_cost_estimate", "", "SELECT l_returnflag, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS tokens_in, CAST(sum(CAST(l_linenumber AS BIGINT)) AS BIGINT) AS tokens_out, round(sum(CAST(l_quantity AS BIGINT)) * 0.075::DOUBLE / 1000000 + sum(CAST(l_linenumber AS BIGINT)) * 0.3::DOUBLE / 1000000, 9) AS cost FROM lineitem GROUP BY 1")
 def _(q: Views) -> DataFrame:
     """Prices of a million tokens in and out: 0.075 and 0.30. Fixed values."""
     sums = q.table("lineitem").groupBy("l_returnflag").agg(F.sum(F.col("l_quantity").cast("long")).alias("tokens_in"), F.sum(F.col("l_linenumber").cast("long")).alias("tokens_out"))

@@ -56,7 +56,7 @@ _GLOSS_TERMS = ["that", "with", "this", "from", "the", "tion", "therein", "hat"]
 _long = sorted(_GLOSS_TERMS, key=lambda t: (-len(t), t))
 
 
-@query("j12_term_occurrences", "", f"SELECT term, sum(n) AS n, count(*) AS n_docs FROM (SELECT doc_id, lower(x) AS term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)({'|'.join(_long)})')) AS x FROM documents) GROUP BY 1, 2) GROUP BY 1")
+@query("j12_term_occurrences", "", f"SELECT term, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_docs FROM (SELECT doc_id, lower(x) AS term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)({'|'.join(_long)})')) AS x FROM documents) GROUP BY 1, 2) GROUP BY 1")
 def _(q: Views) -> DataFrame:
     """Occurrences of overlapping terms in all texts, longest first, without overlap."""
     hits = q.table("documents").select("doc_id", F.explode(te.counts(F.col("text"), _GLOSS_TERMS)).alias("h"))

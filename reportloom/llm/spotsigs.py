@@ -54,24 +54,25 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
 def with_next(docs: DataFrame) -> DataFrame:
     """Adds the text and fingerprint of the next document by ascending doc_id (after the last: the first).
 
-    The order is cut at quantiles of doc_id into parts of about equal size, each in one task; the last document of a part
-    takes the first of the next part. Null doc_ids come first; equal ones are ordered by their texts.
+    The order is cut at quantiles of doc_id into parts of about equal size, each in one task. The first document of a part
+    also goes to the part before, behind all its own, so one shuffle and one window do. Only the parts' bounds and first
+    doc_ids come to the driver. Null doc_ids come first; equal ones are ordered by their texts.
     """
     n = max(1, min(MOST_PARTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     bounds = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10 * n).alias("b")).first()["b"] or []
     bounds = sorted(set(bounds)) or [0]
-    part = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in bounds]), lambda b: b <= F.col("doc_id")))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
-    rows = docs.withColumn("part", part).repartition("part")
-    within = Window.partitionBy("part").orderBy(*order)
-    led = rows.withColumn("next", F.lead(F.struct("text", "print")).over(within))
-    heads = rows.withColumn("n", F.row_number().over(within)).where("n = 1").select(F.col("part").alias("head_part"), F.struct("text", "print").alias("head"))
-    present = rows.select("part").distinct()
-    follows = present.withColumn("after", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())))
-    heads = follows.join(heads, F.col("after") == F.col("head_part")).select("part", "head")
-    inner = led.where("next is not null").select("doc_id", "text", "print", "next")
-    last = led.where("next is null").join(heads, "part").select("doc_id", "text", "print", F.col("head").alias("next"))
-    return inner.union(last)
+    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    part = F.size(F.filter(longs(bounds), lambda b: b <= F.col("doc_id")))
+    part = F.when(F.col("doc_id").isNull(), 0).otherwise(part)
+    firsts = sorted(docs.groupBy(part.alias("part")).agg(F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull()).alias("nulls")).collect())
+    low, before = [None] * (len(bounds) + 1), [0] * (len(bounds) + 1)
+    for k, r in enumerate(firsts):
+        low[r.part], before[r.part] = None if r.nulls else r.low, firsts[k - 1].part
+    first = F.col("doc_id").eqNullSafe(F.get(longs(low), F.col("part")))
+    own, ahead = F.struct(F.col("part"), F.lit(0).alias("after")), F.struct(F.get(longs(before), F.col("part")).cast("int").alias("part"), F.lit(1).alias("after"))
+    rows = docs.withColumn("part", part).withColumn("at", F.explode(F.when(first, F.array(own, ahead)).otherwise(F.array(own))))
+    within = Window.partitionBy("at.part").orderBy("at.after", F.col("doc_id").asc_nulls_first(), "text")
+    return rows.withColumn("next", F.lead(F.struct("text", "print")).over(within)).where("at.after = 0").select("doc_id", "text", "print", "next")
 
 
 def edited(docs: DataFrame) -> DataFrame:

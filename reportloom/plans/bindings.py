@@ -149,10 +149,10 @@ class Views:
     @cached_property
     def boxes(self) -> DataFrame:
         """Word boxes: a character is 6 wide, a line 12 high; words of a line stand up to 2 lower."""
-        words = self.lines.withColumn("ws", F.filter(F.split("line", " "), lambda w: w != ""))
-        start = F.aggregate("ws", F.array(F.lit(0)), lambda acc, w: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(w) + 1)))
-        words = words.withColumn("at", start).select("rep_id", "page_number", "line_no", "at", F.posexplode("ws").alias("word_no", "text"))
-        x0 = F.get("at", F.col("word_no"))
+        line = ["rep_id", "page_number", "line_no"]
+        words = self.lines.select(*line, F.posexplode(F.filter(F.split("line", " "), lambda w: w != "")).alias("word_no", "text"))
+        before = Window.partitionBy(*line).orderBy("word_no").rowsBetween(Window.unboundedPreceding, -1)
+        x0 = F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))
         top = 12.0 * F.col("line_no") + F.col("word_no") % 3
         return words.select("rep_id", "page_number", "line_no", "word_no", "text", (6.0 * x0).alias("x0"), (6.0 * (x0 + F.length("text"))).alias("x1"), top.alias("top"), (top + 10).alias("bottom"))
 

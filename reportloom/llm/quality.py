@@ -22,7 +22,7 @@ GRADES = 3
 #: The model is fitted on about this many graded texts (all, if there are fewer), chosen by a hash.
 SAMPLE = 8000
 ROUNDS, RATE, RIDGE = 200, 0.2, 1e-4
-#: Features of fewer graded texts than this, in number or as a share, are left out.
+#: Features that in each grade are in fewer texts than this, in number or as a share of the grade, are left out.
 LEAST_SEEN, LEAST_SHARE = 8, 0.01
 #: Least P(grade >= 2) of a selected document.
 LEAST = 0.5
@@ -116,7 +116,9 @@ def train(grades: np.ndarray, slots: list[np.ndarray]) -> Model:
     slot = np.concatenate(slots)
     row = np.repeat(np.arange(n), [len(x) for x in slots])
     seen = np.bincount(slot, minlength=size)
-    model.scale = np.where(seen >= max(LEAST_SEEN, LEAST_SHARE * n), np.sqrt(n / np.maximum(seen, 1)), 0.0)
+    by_grade = np.bincount(slot * GRADES + grades[row], minlength=size * GRADES).reshape(size, GRADES)
+    known = (by_grade >= np.maximum(LEAST_SEEN, LEAST_SHARE * np.bincount(grades, minlength=GRADES))).any(axis=1)
+    model.scale = np.where(known, np.sqrt(n / np.maximum(seen, 1)), 0.0)
     kept = model.scale[slot] > 0
     row, slot = row[kept], slot[kept]
     value = model.values(row, slot, n)

@@ -72,3 +72,19 @@ def test_edges(spark):
     flat = q.fit(docs(spark, []), none)
     assert q.score(docs(spark, []), flat).count() == 0
     assert len({round(x, 9) for x in flat.tails(pa.array(["a b", "c"]))[:, 1]}) == 1
+
+
+def test_words_of_a_rare_grade_count():
+    """1 % toxic texts, each with one of two words: each word is in 0.5 % of all texts, and in no other grade."""
+    texts, grades = [prose(40, 9000 + i) for i in range(3000)], np.full(3000, 2)
+    for i in range(0, 3000, 100):
+        texts[i], grades[i] = texts[i] + (" vilest" if i % 200 else " foulness"), 0
+
+    def slots(values):
+        return [part for i, j, row, slot in q.features(pa.array(values)) for part in np.split(slot, np.searchsorted(row, np.arange(1, j - i)))]
+
+    model = q.train(grades, slots(texts))
+    rest = [prose(40, 20000 + i) for i in range(100)]
+    assert (model.tails(pa.array(rest))[:, 1] >= q.LEAST).mean() > 0.95
+    for word in ("vilest", "foulness"):
+        assert (model.tails(pa.array([f"{x} {word}" for x in rest]))[:, 1] < q.LEAST).mean() > 0.95

@@ -21,14 +21,15 @@ from pyspark.sql import functions as F
 from reportloom.llm import bytescan as b
 from reportloom.llm.alignment import best_match
 
-Q = 12
+#: Length of the q-grams, and of those for items so short that the edit budget would leave none of the longer ones.
+Q, SHORT_Q = 12, 6
 #: Edits allowed, as a share of an item's characters.
 EDIT_RATE = 0.07
 #: Characters of benchmark text in one broadcast block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Hits expanded at once.
 HITS = 1 << 20
-_built: dict[str, Index] = {}
+_built: dict[str, list[Index]] = {}
 
 
 def plain(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,25 +46,27 @@ def plain(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 class Index:
-    """q-grams of the items of one block, and where they occur."""
+    """q-grams of the items of one block, and where they occur. About 40 bytes for each character of the items."""
 
-    def __init__(self, items: list[tuple[int, bytes]]) -> None:
+    def __init__(self, items: list[tuple[int, bytes]], q: int) -> None:
+        self.q = q
         self.ids = [i for i, _ in items]
         self.texts = [t for _, t in items]
         size = np.array([len(t) for t in self.texts], np.int64)
-        self.edits = np.maximum(0, np.minimum((size * EDIT_RATE).astype(np.int64), (size - Q) // Q))
-        self.least = size - Q + 1 - Q * self.edits
+        self.edits = (size * EDIT_RATE).astype(np.int64)
+        self.least = size - q + 1 - q * self.edits
         self.size = size
         data = np.frombuffer(b"".join(self.texts), np.uint8)
         first = np.cumsum(size) - size
         item = np.repeat(np.arange(len(size)), size)
         place = np.arange(len(data)) - first[item]
-        at = np.flatnonzero(place + Q <= size[item])
-        grams = b.window_hashes(b.BYTE_VALUE[data], at, Q, b.BASE) if len(at) else np.zeros(0, np.uint64)
+        at = np.flatnonzero(place + q <= size[item])
+        grams = b.window_hashes(b.BYTE_VALUE[data], at, q, b.BASE) if len(at) else np.zeros(0, np.uint64)
         order = np.argsort(grams, kind="stable")
         self.grams, self.first, self.count = np.unique(grams[order], return_index=True, return_counts=True)
-        self.item, self.place = item[at][order], place[at][order]
-        bits = max(16, int(len(self.grams) * 64).bit_length())
+        self.first, self.count = self.first.astype(np.int32), self.count.astype(np.int32)
+        self.item, self.place = item[at][order].astype(np.int32), place[at][order].astype(np.int32)
+        bits = max(16, int(len(self.grams) * 4).bit_length())
         self.mask = np.uint64((1 << bits) - 1)
         self.filter = np.zeros(1 << bits, bool)
         self.filter[self.grams & self.mask] = True
@@ -74,10 +77,11 @@ class Index:
 
     def bands(self, chars: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Items and first diagonals of the bands that reach their item's bound."""
-        at = np.flatnonzero(row[Q - 1 :] == row[: len(row) - Q + 1]) if len(row) >= Q else np.zeros(0, np.int64)
+        q = self.q
+        at = np.flatnonzero(row[q - 1 :] == row[: len(row) - q + 1]) if len(row) >= q else np.zeros(0, np.int64)
         if not len(at) or not len(self.grams):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        grams = b.window_hashes(b.BYTE_VALUE[chars], at, Q, b.BASE)
+        grams = b.window_hashes(b.BYTE_VALUE[chars], at, q, b.BASE)
         maybe = np.flatnonzero(self.filter[grams & self.mask])
         found = np.minimum(np.searchsorted(self.grams, grams[maybe]), len(self.grams) - 1)
         true = self.grams[found] == grams[maybe]
@@ -90,7 +94,7 @@ class Index:
             n = self.count[found[lo:hi]]
             spread = np.repeat(np.arange(lo, hi), n)
             occurrence = self.first[found[spread]] + np.arange(len(spread)) - np.repeat(np.cumsum(n) - n, n)
-            item = self.item[occurrence]
+            item = self.item[occurrence].astype(np.int64)
             band = (at[spread] - self.place[occurrence]) // (self.edits[item] + 1) + (1 << 40)
             both = np.concatenate([item << 42 | band, item << 42 | (band - 1)])
             keys.append(np.unique(both, return_counts=True))
@@ -134,23 +138,31 @@ class Index:
         return out
 
 
-def _index(name: str, shared) -> Index:
-    """The block's index, built once in each Python worker."""
+def indexes(items: list[tuple[int, bytes]]) -> list[Index]:
+    """An index of long q-grams for the items that keep one within their edit budget, one of short ones for the others."""
+    short = [len(t) >= Q and len(t) - Q + 1 - Q * int(len(t) * EDIT_RATE) < 1 for _, t in items]
+    parts = [([x for x, s in zip(items, short, strict=True) if s == want], q) for want, q in ((False, Q), (True, SHORT_Q))]
+    return [Index(part, q) for part, q in parts if part]
+
+
+def _index(name: str, shared) -> list[Index]:
+    """The block's indexes, built once in each Python worker."""
     if name not in _built:
         _built.clear()
-        _built[name] = Index(shared.value)
+        _built[name] = indexes(shared.value)
     return _built[name]
 
 
-def _scan(texts: pa.Array, index: Index) -> Iterator[tuple[int, int, int, int, int]]:
-    """Row, item, edits, start and end in characters of the text as it is, for each match in a column of texts."""
+def _scan(texts: pa.Array, parts: list[Index]) -> Iterator[tuple[int, int, int, int, int]]:
+    """Row, item id, edits, start and end in characters of the text as it is, for each match in a column of texts."""
     data, offsets = b.column(texts)
     for i, j in b.slices(offsets):
         piece = data[offsets[i] : offsets[j]]
         chars, at, row = plain(piece, offsets[i : j + 1] - offsets[i])
-        for r, item, edits, start, end in index.matches(chars, row):
-            lead = lambda k, r=r: int(np.count_nonzero((piece[offsets[i + r] - offsets[i] : k] & 0xC0) != 0x80))
-            yield i + r, item, edits, lead(at[start]), lead(at[end - 1] + 1)
+        for index in parts:
+            for r, item, edits, start, end in index.matches(chars, row):
+                lead = lambda k, r=r: int(np.count_nonzero((piece[offsets[i + r] - offsets[i] : k] & 0xC0) != 0x80))
+                yield i + r, index.ids[item], edits, lead(at[start]), lead(at[end - 1] + 1)
 
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text: str = "text") -> Iterator[list[tuple[int, bytes]]]:
@@ -194,7 +206,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: st
                     got[3] += 1
                 ids = batch["doc_id"].take(pa.array([r for r, _ in best], pa.int64()))
                 cols = [pa.array([v[k] for v in best.values()], pa.int32()) for k in range(4)]
-                yield pa.RecordBatch.from_arrays([ids, pa.array([index.ids[i] for _, i in best], pa.int64()), *cols], ["doc_id", "item_id", "n_edits", "start", "end", "n_matches"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array([i for _, i in best], pa.int64()), *cols], ["doc_id", "item_id", "n_edits", "start", "end", "n_matches"])
 
         out = out.union(rows.mapInArrow(run, schema))
     return out

@@ -31,6 +31,14 @@ CACHE = 200_000
 _models: dict[str, Model] = {}
 
 
+def letters(text: str | None) -> list[str]:
+    """Runs of letters in lower case. Numerals that the pattern takes for letters (as fractions and Roman numerals) part them."""
+    out = WORD.findall(text.lower()) if text else []
+    if out and not text.isascii():
+        out = [x for w in out for x in ((w,) if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
+    return out
+
+
 class Model:
     """Log frequencies of words and n-grams by language."""
 
@@ -71,7 +79,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and its share of the likelihood; ``und`` and 0 without a letter or without a model."""
-        words = WORD.findall(text.lower()) if text else []
+        words = letters(text)
         if not words or not self.langs:
             return "und", 0.0
         if len(self.unseen) > CACHE:
@@ -91,7 +99,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: dict[str, Counter] = {}
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            counts.setdefault(lang, Counter()).update(WORD.findall((text or "").lower()))
+            counts.setdefault(lang, Counter()).update(letters(text))
         rows: list[tuple[str, int, str, int]] = []
         for lang, words in counts.items():
             rows += [(lang, 0, w, c) for w, c in words.items()]
@@ -136,7 +144,9 @@ def _model(name: str, shared) -> Model:
 def identify(docs: DataFrame, counts: list[tuple[str, int, str, int]], keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The columns ``keep`` with lang_pred and score (0 to 1); whole texts, one row per row of ``docs``.
 
-    Null texts and texts without a letter are ``und`` with score 0, as is all if there was nothing to learn from.
+    Null texts and texts without a letter are ``und`` with score 0, as is all if there was nothing to learn from. Equal
+    scores go to the language first in order. Repeated rows are predicted each; extra columns are not read; an empty table
+    gives an empty result; a very long text is read whole.
     """
     name, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(counts)
     rows = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(keep)], F.col(text).alias("__text"))

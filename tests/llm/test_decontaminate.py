@@ -1,6 +1,8 @@
+import random
+
 from helpers import clashing, docs, prose
 
-from reportloom.llm.decontaminate import EDIT_RATE, decontaminate, find
+from reportloom.llm.decontaminate import EDIT_RATE, Index, Q, decontaminate, find
 
 ITEMS = "item_id long, text string"
 
@@ -38,13 +40,36 @@ def test_against_brute_force(spark):
         for j, item in items:
             p = form(item)
             d = distance(p, form(t or ""))
-            if d <= min(int(len(p) * EDIT_RATE), (len(p) - 12) // 12):
+            if d <= int(len(p) * EDIT_RATE):
                 want[i, j] = d
     assert {k: r.n_edits for k, r in got.items()} == want and len(want) >= 18
     one = got[0, 0]
     assert form(texts[0][one.start : one.end]) == form(items[0][1])
 
 
+def test_short_items_keep_their_budget(spark):
+    """Items of 12 to 75 characters, each in a text with as many edits as 7 % allow, and with one more."""
+    r = random.Random(3)
+    items, rows = [], []
+    for k, size in enumerate(range(12, 76, 3)):
+        item = "".join(r.choice("abcdefghij") for _ in range(size))
+        items.append((k, item))
+        for more in (0, 1):
+            at = set(r.sample(range(size), int(size * EDIT_RATE) + more))
+            rows.append((2 * k + more, prose(20, k) + " " + "".join("z" if i in at else c for i, c in enumerate(item)) + " " + prose(20, 90 + k), "en", "s", 1))
+    got = {(x.doc_id, x.item_id) for x in find(docs(spark, rows), spark.createDataFrame(items, ITEMS)).collect()}
+    want = {(d[0], i) for d in rows for i, t in items if distance(t.encode(), form(d[1])) <= int(len(t) * EDIT_RATE)}
+    assert got == want and {(2 * k, k) for k, _ in items} <= got
+
+
+def test_index_memory():
+    """An index of a block takes less than 60 bytes a character."""
+    items = [(i, prose(200, i).encode()) for i in range(300)]
+    index = Index(items, Q)
+    arrays = [index.grams, index.first, index.count, index.item, index.place, index.filter]
+    assert sum(a.nbytes for a in arrays) < 60 * sum(len(t) for _, t in items)
+
+
 def test_short_items_and_edges(spark):
     items = spark.createDataFrame([(1, "tiny one"), (2, None), (3, ""), (4, "!!"), (5, "tiny one"), (None, "zz")], ITEMS)
     rows = [(1, "a Tiny, one!", "en", "s", 1), (2, "atiny ones", "en", "s", 1), (2, "tiny one", "en", "s", 1), (None, "tiny one", None, None, None), (3, None, None, None, None)]

@@ -23,13 +23,14 @@ def held_out(i) -> bool:
 
 
 def test_held_out_accuracy_and_edges(spark, tmp_path):
-    extra = [(900 + k, r[1], r[2] if k != 4 else None, r[3], r[4]) for k, r in enumerate(edge_rows()) if r[0] != 13]
-    docs(spark, [*rows(), *extra, (None, "the green dog", "en", "s", 1)]).write.parquet(str(tmp_path / "documents.parquet"))
+    extra = [(900 + k, r[1], r[2] if k != 4 else None, r[3], r[4]) for k, r in enumerate(edge_rows())]
+    docs(spark, [*rows(), *extra, (None, "the green dog", "en", "s", 1), (990, "½ ² Ⅷ 12", "en", "s", 1)]).write.parquet(str(tmp_path / "documents.parquet"))
     got = op3_language_id(spark, str(tmp_path)).collect()
-    assert len(got) == 90 + len(extra) + 1
+    assert len(got) == 90 + len(extra) + 2
     by = {r.doc_id: r for r in got}
     assert all(by[i].lang_pred == list(WORDS)[i % 3] for i in range(90))
     assert all(r.held_out == held_out(r.doc_id) and 0 <= r.score <= 1 for r in got)
+    assert by[990].lang_pred == "und" and by[990].score == 0
     texts = {r[0]: r[1] for r in extra}
     for i, t in texts.items():
         assert (by[i].lang_pred == "und") == (not any(c.isalpha() for c in t or ""))

@@ -20,8 +20,8 @@ CHAIN = 2
 #: Anchors and other common words of the languages at hand. Fixed values.
 ANCHORS = "the is was that der die das ist le la est dans el los que una".split()
 COMMON = "a an and are as at be by for from had has he her his i in it its not of on or she this to were which with you den dem des ein eine er es für im in mit nicht sich sie und von zu au aux ce de des du elle en et il les ne pas pour qui se sur un une con del en las lo no para por se su un y".split()
-#: More parts than this are not made of the order of doc_ids.
-MOST_PARTS = 1000
+#: The order of doc_ids is cut into parts of about so many bytes of text, and no more parts than the second figure.
+PART_BYTES, MOST_PARTS = 64 << 20, 10_000
 
 
 def _any(words: list[str]) -> str:
@@ -29,15 +29,27 @@ def _any(words: list[str]) -> str:
 
 
 def fingerprint(text: Column) -> Column:
-    """Eight hex digits of each signature of the text, sorted and joined."""
+    """Eight hex digits of each signature of the text, sorted and joined.
+
+    The text is cut at its content words, so what lies before each of them is a run of anchors: every distinct anchor of
+    the run begins a chain there. Time is linear in the text, however long the runs are.
+    """
     anchor, skipped = _any(ANCHORS), _any([w for w in COMMON if w not in ANCHORS])
     plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     spare = F.regexp_replace(plain, f" {skipped}(?= )", "")
-    step = f"(?: {anchor}(?= ))*+ [^ ]++"
-    spots = F.regexp_extract_all(spare, F.lit(f"(?= ({anchor}{step * CHAIN}))"), F.lit(1))
-    chains = F.split(F.regexp_replace(F.array_join(spots, "\n"), rf"(?<=[^\n]) {anchor}(?= )", ""), "\n")
-    signatures = F.when(F.size(spots) > 0, F.array_distinct(chains)).otherwise(F.array(plain))
-    return F.array_join(F.array_sort(F.array_distinct(F.transform(signatures, lambda s: F.substring(F.md5(s), 1, 8)))), "")
+    runs = F.split(spare, f" (?!{anchor} )[^ ]++(?= )")
+    content = F.split(F.trim(F.regexp_replace(spare, f" {anchor}(?= )", "")), " ")
+    nothing = F.array().cast("array<string>")
+
+    def chains(p: Column) -> Column:
+        after = lambda a, k: F.concat_ws(" ", a, *[F.get(p["content"], k + i) for i in range(CHAIN)])
+        here = lambda run, k: F.transform(F.array_distinct(F.split(F.trim(run), " ")), lambda a: after(a, k))
+        return F.flatten(F.transform(p["runs"], lambda run, k: F.when((F.trim(run) != "") & (k + CHAIN <= F.size(p["content"])), here(run, k)).otherwise(nothing)))
+
+    # the struct in an array binds the two lists once for all elements
+    spots = F.transform(F.array(F.struct(runs.alias("runs"), content.alias("content"), plain.alias("plain"))), lambda p: F.struct(chains(p).alias("c"), p["plain"].alias("plain")))
+    prints = F.transform(spots, lambda p: F.when(F.size(p["c"]) > 0, F.array_distinct(p["c"])).otherwise(F.array(p["plain"])))
+    return F.array_join(F.array_sort(F.array_distinct(F.transform(F.get(prints, F.lit(0)), lambda s: F.substring(F.md5(s), 1, 8)))), "")
 
 
 def parts(print_: Column) -> Column:
@@ -58,7 +70,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     also goes to the part before, behind all its own, so one shuffle and one window do. Only the parts' bounds and first
     doc_ids come to the driver. Null doc_ids come first; equal ones are ordered by their texts.
     """
-    n = max(1, min(MOST_PARTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, min(MOST_PARTS, max(size // PART_BYTES, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     bounds = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10 * n).alias("b")).first()["b"] or []
     bounds = sorted(set(bounds)) or [0]
     longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])

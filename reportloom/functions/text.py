@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -104,7 +105,15 @@ def missing(original: Column, translated: Column) -> Column:
 def any_term(terms: list[str]) -> str:
     """One alternation of literal terms, longest first, in any case."""
     ordered = sorted(terms, key=lambda t: (-len(t), t))
-    return "(?iu)(" + "|".join(rf"\Q{t}\E" for t in ordered) + ")"
+    return "(?iu)(" + "|".join(re.escape(t) for t in ordered) + ")"
+
+
+def longest_first(terms: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Terms by length; of terms that differ in case only the first given stays."""
+    kept: dict[str, tuple[str, str]] = {}
+    for term in terms:
+        kept.setdefault(term[0].lower(), term)
+    return sorted(kept.values(), key=lambda t: (-len(t[0]), t[0]))
 
 
 def term_placeholder(rank: int) -> str:
@@ -113,7 +122,7 @@ def term_placeholder(rank: int) -> str:
 
 def protect(c: Column, terms: list[tuple[str, str]]) -> Column:
     """Terms become placeholders, longest first and without overlap; a term's placeholder is its rank in that order."""
-    ordered = sorted(terms, key=lambda t: (-len(t[0]), t[0]))
+    ordered = longest_first(terms)
     table = F.create_map(*[x for i, (t, _) in enumerate(ordered) for x in (F.lit(t.lower()), F.lit(term_placeholder(i)))])
     pattern = F.lit(any_term([t for t, _ in terms]))
     found = F.regexp_extract_all(c, pattern, F.lit(1))
@@ -122,18 +131,19 @@ def protect(c: Column, terms: list[tuple[str, str]]) -> Column:
 
 
 def restore(c: Column, terms: list[tuple[str, str]]) -> Column:
-    ordered = sorted(terms, key=lambda t: (-len(t[0]), t[0]))
+    ordered = longest_first(terms)
     return replace_all(c, [(term_placeholder(i), zh) for i, (_, zh) in enumerate(ordered)])
 
 
 def substitute(c: Column, terms: list[tuple[str, str]]) -> Column:
     """Terms in any case become their translations, one term after another, longest first."""
-    return reduce(lambda t, p: F.regexp_replace(t, rf"(?iu)\Q{p[0]}\E", p[1]), sorted(terms, key=lambda t: (-len(t[0]), t[0])), c)
+    plain = lambda zh: zh.replace("\\", "\\\\").replace("$", "\\$")  # noqa: E731  as it is, in a replacement
+    return reduce(lambda t, p: F.regexp_replace(t, "(?iu)" + re.escape(p[0]), plain(p[1])), longest_first(terms), c)
 
 
 def violations(c: Column, terms: list[str]) -> Column:
     """Placeholders left over, then source terms left as whole words."""
-    return F.concat(F.regexp_extract_all(c, F.lit(PLACEHOLDER), F.lit(0)), *[F.regexp_extract_all(c, F.lit(rf"(?i)\b\Q{t}\E\b"), F.lit(0)) for t in terms])
+    return F.concat(F.regexp_extract_all(c, F.lit(PLACEHOLDER), F.lit(0)), *[F.regexp_extract_all(c, F.lit(rf"(?i)\b{re.escape(t)}\b"), F.lit(0)) for t in terms])
 
 
 def table_header(line: Column) -> tuple[Column, Column, Column]:

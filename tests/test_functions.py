@@ -50,3 +50,9 @@ def test_natural_order(spark):
     ids = ["B", "10.2", "4.10", "4.2", "B.2", "B.10", "4.x", "4"]
     rows = spark.createDataFrame([(i,) for i in ids], "i string").orderBy(v.natural_key(F.col("i"))).collect()
     assert [r.i for r in rows] == ["B", "4", "4.x", "4.2", "4.10", "10.2", "B.2", "B.10"]
+
+
+def test_glossary_with_case_variants_and_special_characters(spark):
+    terms = [("Safeguard", "安全"), ("SAFEGUARD", "其他"), ("a\\Eb", "x"), ("cost", "$9\\d")]
+    assert one(spark, lambda c: t.substitute(c, terms), "safeguard A\\eB Cost") == "安全 x $9\\d"
+    assert one(spark, lambda c: t.restore(t.protect(c, terms), terms), "safeguard A\\eB Cost") == "安全 x $9\\d"

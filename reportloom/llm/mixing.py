@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reportloom.llm.cluster import cut, small
+from reportloom.llm.cluster import cut, salted_join, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Blocks in a range of the permuted order, on average.
@@ -123,12 +123,14 @@ class Mix:
     order. Repeated rows are told apart by a copy number and drawn apart. An empty table gives empty results.
 
     ``documents``: doc_id, source, copy, size, source_size, target, taken; one row per input row.
-    ``draws``: source, shard, position, pass, doc_id, copy, size, block_no, first_word, n_words; one row per drawn block.
+    ``draws``: source, shard, position, pass, doc_id, copy, size, block_no, first_word, n_words, rk; one row per drawn block.
+    ``shuffled()``: the words themselves, shard by shard.
     """
 
     def __init__(self, docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0, block: int = 128, shards: int = 16, seed: int = 20) -> None:
-        same = Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(0))
-        sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
+        same = Window.partitionBy("doc_id", "source", "size").orderBy("rk")
+        keyed = docs.select("doc_id", "source", "text", F.xxhash64("doc_id", "source", "text").alias("rk"))
+        sized = keyed.select("doc_id", "source", "rk", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
         self.sized = sized = cut(sized.withColumn("copy", F.row_number().over(same)))
         n_blocks = F.ceil(F.col("size") / block).cast("bigint")
         sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(n_blocks).alias("n_blocks"))
@@ -155,7 +157,7 @@ class Mix:
             .join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
             .withColumn("part", F.greatest(F.lit(0), F.least("n_words", F.col("rest") - F.col("w_before") - F.col("w_in"))))
             .where("passes > 0 or part > 0")
-            .select("source", "doc_id", "copy", "size", "block_no", "n_words", "part", "passes", "n_blocks", (F.col("n_before") + F.col("n_in")).alias("rank"))
+            .select("source", "doc_id", "copy", "size", "block_no", "n_words", "part", "passes", "n_blocks", "rk", (F.col("n_before") + F.col("n_in")).alias("rank"))
         )
         ranked = cut(ranked)
         quotas = ranked.groupBy("source").agg(F.sum(F.col("passes") + (F.col("part") > 0).cast("bigint")).alias("quota"))
@@ -170,15 +172,30 @@ class Mix:
             .withColumn("position", F.col("d.pass") * F.col("n_blocks") + F.col("rank"))
             .withColumn("shard", F.expr("size(filter(ends, e -> e <= position))"))
         )
-        self.draws = draws.select("source", "shard", "position", F.col("d.pass").alias("pass"), "doc_id", "copy", "size", "block_no", (F.col("block_no") * block).alias("first_word"), F.col("d.words").alias("n_words"))
+        self.draws = draws.select("source", "shard", "position", F.col("d.pass").alias("pass"), "doc_id", "copy", "size", "block_no", (F.col("block_no") * block).alias("first_word"), F.col("d.words").alias("n_words"), "rk")
         taken = self.draws.groupBy("source", "doc_id", "copy", "size").agg(F.sum("n_words").alias("taken"))
         everyone = by_source(sized, plan.select("source", "source_size", "target"))
         here = everyone.withColumn("taken", F.lit(0).cast("bigint"))
         drawn = taken.select("doc_id", "source", "size", "copy", F.lit(None).cast("bigint").alias("source_size"), F.lit(None).cast("double").alias("target"), "taken")
         self.documents = here.select(*drawn.columns).union(drawn).groupBy("doc_id", "source", "size", "copy").agg(F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("taken").alias("taken"))
-        self.seed, self.n_shards = seed, shards
+        self.seed, self.block, self.keyed = seed, block, keyed
 
     def shuffled(self) -> DataFrame:
-        """The draws, one partition group per shard, in the shard's own random order."""
-        local = F.xxhash64(F.lit(self.seed), "shard", "doc_id", "copy", "block_no", "pass")
-        return self.draws.repartition(self.n_shards, "shard").sortWithinPartitions("shard", local)
+        """The words of the mix: source, shard, doc_id, pass, block_no, first_word, n_words, text; shard after shard, each in random order.
+
+        ``text`` is the drawn words, joined by one space. Texts are cut into blocks before they meet their draws, so a
+        long text is read once; a row that is repeated very often is met in parts. Rows come in ranges of (shard, random
+        key), so a shard may be as large as it likes.
+        """
+        words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+        bk = F.struct("doc_id", "rk", F.col("block_no").cast("long").alias("no")).alias("bk")
+        blocks = (
+            self.keyed.select("doc_id", "rk", words.alias("w")).where("size(w) > 0")
+            .select("doc_id", "rk", F.posexplode(F.expr(f"transform(sequence(0, (size(w) - 1) div {self.block}), i -> slice(w, cast(i as int) * {self.block} + 1, {self.block}))")).alias("block_no", "w"))
+            .select(bk, F.array_join("w", " ").alias("text")).groupBy("bk").agg(F.first("text").alias("text"))
+        )
+        drawn = self.draws.withColumn("bk", bk)
+        order = F.xxhash64(F.lit(self.seed), "shard", "doc_id", "copy", "block_no", "pass")
+        out = salted_join(drawn, "bk", blocks).withColumn("order", order).orderBy("shard", "order", "source", "position")
+        text = F.when(F.col("n_words") == self.block, F.col("text")).otherwise(F.array_join(F.slice(F.split("text", " "), F.lit(1), F.col("n_words").cast("int")), " "))
+        return out.select("source", "shard", "doc_id", "pass", "block_no", "first_word", "n_words", text.alias("text"))

@@ -25,7 +25,27 @@ def test_draws_meet_targets_and_are_disjoint(spark):
     sizes = [sum(1 for d in draws if d.shard == s) for s in range(5)]
     assert max(sizes) - min(sizes) <= 3 and sum(sizes) == len(draws)
     assert sorted(map(tuple, m.documents.collect()), key=str) == sorted(map(tuple, Mix(docs(spark), shards=5, block=8).documents.collect()), key=str)
-    assert m.shuffled().count() == len(draws)
+
+
+def test_shards_hold_the_drawn_words(spark):
+    rows = [(i, " ".join(f"d{i}w{j}" for j in range(7 * i % 60)) + "\t ", "en", f"s{i % 4}", 1) for i in range(60)] + [(1, "same words", "en", "s1", 1)] * 40
+    m = Mix(docs(spark, rows), shards=5, block=8)
+    texts = {(r[0], r[1].strip()): r[1].split() for r in rows}
+    got, draws = m.shuffled().collect(), m.draws.collect()
+    assert len(got) == len(draws) and [r.shard for r in got] == sorted(r.shard for r in got)
+    for r in got:
+        assert r.text and any(r.doc_id == i and w[r.first_word : r.first_word + r.n_words] == r.text.split() for (i, _), w in texts.items())
+    quotas = {(r.source, r.shard): r.quota for r in m.shares.collect() if r.quota}
+    assert quotas == {k: sum((r.source, r.shard) == k for r in got) for k in quotas} and sum(quotas.values()) == len(got)
+    shard = [(r.doc_id, r.block_no) for r in got if r.shard == 0]
+    assert shard != sorted(shard)
+    assert got == Mix(docs(spark, rows).repartition(3), shards=5, block=8).shuffled().collect()
+
+
+def test_shards_of_edge_rows(spark):
+    assert Mix(docs(spark, [])).shuffled().count() == 0
+    m = Mix(clashing(docs(spark)), block=8)
+    assert sum(r.n_words for r in m.shuffled().collect()) == sum(r.taken for r in m.documents.collect())
 
 
 def test_tree_keeps_sums(spark):

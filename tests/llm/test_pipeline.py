@@ -49,7 +49,12 @@ def test_run_and_stages(spark, folder):
     before, after = seen["benchmark_decontamination"]
     assert {r.doc_id for r in before} - {r.doc_id for r in after} == {400}
     before, after = seen["mixing"]
-    assert len(before) == len(after) and all(r.taken <= 2 * r.size for r in after)
+    size = {}
+    for r in before:
+        size[r.doc_id] = size.get(r.doc_id, 0) + len(re.findall(r"[^\x20\x09-\x0d]+", r.text or ""))
+    taken = {i: sum(r.n_words for r in after if r.doc_id == i) for i in size}
+    assert all(taken[i] <= 2 * size[i] for i in size) and abs(sum(taken.values()) - 1.5 * sum(size.values())) <= 0.5 * len({r.source for r in before})
+    assert all(len(r.text.split(" ")) == r.n_words for r in after)
     whole = corpus_pipeline.run(spark, folder)
     assert sorted(map(str, whole.collect())) == sorted(map(str, after))
 

@@ -7,6 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Arrow batches hold about so many bytes, or one row, where lineage is cut; both sides of a Python worker keep some at once.
+BATCH_BYTES = 8 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
@@ -26,9 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the shared folder."""
+    """Cuts lineage with a reliable checkpoint in the shared folder, in Arrow batches of ``BATCH_BYTES``."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(BATCH_BYTES))
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        conf.set(key, before)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

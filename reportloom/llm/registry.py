@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reportloom.llm import queries_decontaminate, queries_html, queries_language, queries_licences, queries_mixing, queries_near, queries_quality, queries_spotsigs, queries_substring, queries_warc
+from reportloom.llm import queries_decontaminate, queries_divergence, queries_html, queries_language, queries_licences, queries_mixing, queries_near, queries_periodic, queries_quality, queries_simhash, queries_spotsigs, queries_substring, queries_warc
 
 QUERIES = {
     "op1_near_duplicates": queries_near.op1_near_duplicates,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_quality_grade": queries_quality.op8_quality_grade,
     "op9_warc_archive": queries_warc.op9_warc_archive,
     "op10_html_text": queries_html.op10_html_text,
+    "op11_source_divergence": queries_divergence.op11_source_divergence,
+    "op12_periodic_runs": queries_periodic.op12_periodic_runs,
+    "op13_simhash_components": queries_simhash.op13_simhash_components,
 }
-ORACLES = {**queries_licences.ORACLE, **queries_mixing.ORACLE, **queries_substring.ORACLE, **queries_spotsigs.ORACLE, **queries_warc.ORACLE}
+ORACLES = {**queries_licences.ORACLE, **queries_mixing.ORACLE, **queries_substring.ORACLE, **queries_spotsigs.ORACLE, **queries_warc.ORACLE, **queries_divergence.ORACLE, **queries_periodic.ORACLE}

@@ -51,13 +51,28 @@ def choose_template(text: Column) -> Column:
     return F.when(family & edition, "AST-B").otherwise("default")
 
 
-def find_template(tables: DataFrame, templates: DataFrame) -> DataFrame:
+def _prefixes(text: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.length(text)), lambda n: F.substring(text, F.lit(1), n))
+
+
+def find_template(tables: DataFrame, templates: DataFrame, by: list[str] | None = None) -> DataFrame:
     """For each table id: the template table of that id, else of its first comma part, else the first by index where
-    either id begins the other. The template side is small and broadcast; the prefix tier compares with its array."""
-    first = F.trim(F.split("table_id", ",")[0])
-    rows = F.broadcast(templates.groupBy().agg(F.array_sort(F.collect_list(F.struct("index", "template_table"))).alias("all")))
-    hit = lambda test: F.get(F.filter("all", test), F.lit(0))["template_table"]
-    exact = hit(lambda t: t["template_table"] == F.col("table_id"))
-    part = hit(lambda t: t["template_table"] == first)
-    prefix = hit(lambda t: F.startswith(F.col("table_id"), t["template_table"]) | F.startswith(t["template_table"], F.col("table_id")))
-    return tables.crossJoin(rows).withColumn("found", F.coalesce(exact, part, prefix)).drop("all")
+    either id begins the other.
+
+    ``templates`` are (index, template_table), ids within one group of the columns ``by``. Ids are short, so either side's prefixes
+    are joined by equality; each distinct id is looked up once. Adds ``found``, null where nothing matches.
+    """
+    by = by or []
+    ids = tables.select(*by, "table_id").distinct()
+    own = templates.groupBy(*by, "template_table").agg(F.min("index").alias("index"))
+    keyed = own.select(*by, F.col("template_table").alias("key"), F.struct("index", "template_table").alias("t"))
+    begins = own.select(*by, F.explode(_prefixes(F.col("template_table"))).alias("key"), F.struct("index", "template_table").alias("t"))
+    begins = begins.groupBy(*by, "key").agg(F.min("t").alias("t"))
+    tiers = ids.select(*by, "table_id", F.explode(F.concat(
+        F.array(F.struct(F.lit(0).alias("tier"), F.col("table_id").alias("key")), F.struct(F.lit(1).alias("tier"), F.trim(F.split("table_id", ",")[0]).alias("key"))),
+        F.transform(_prefixes(F.col("table_id")), lambda p: F.struct(F.lit(2).alias("tier"), p.alias("key"))),
+    )).alias("x")).select(*by, "table_id", "x.tier", "x.key")
+    hits = tiers.join(keyed, [*by, "key"]).select(*by, "table_id", "tier", "t")
+    hits = hits.union(ids.withColumn("key", F.col("table_id")).join(begins, [*by, "key"]).select(*by, "table_id", F.lit(2).alias("tier"), "t"))
+    found = hits.groupBy(*by, "table_id").agg(F.min(F.struct("tier", "t"))["t"]["template_table"].alias("found"))
+    return tables.join(found, [*by, "table_id"], "left")

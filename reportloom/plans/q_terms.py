@@ -177,15 +177,6 @@ def _(q: Views) -> DataFrame:
     return sinks.filled_cells(rows, F.array("clause_id", "requirement", "result_remark", "verdict_raw"))
 
 
-@query("k03_fill_report_v2", "auto", r"""SELECT doc_id, count(DISTINCT chapter) FILTER (chapter IN ('4','5','6','7','8','9','10','B')) AS tables_filled, count(*) FILTER (chapter IN ('4','5','6','7','8','9','10','B')) AS clauses_filled FROM (SELECT doc_id, regexp_extract(clause_id, '^\d+') AS chapter FROM auto) GROUP BY 1""")
-def _(q: Views) -> DataFrame:
-    """Tables that get a clause and clauses that get filled, of the chapters that have a table."""
-    from reportloom.functions.verdicts import chapter
-
-    own = chapter(F.col("clause_id")).isin(ti.CHAPTERS)
-    return q.auto.groupBy("doc_id").agg(F.countDistinct(F.when(own, chapter(F.col("clause_id")))).alias("tables_filled"), F.count_if(own).alias("clauses_filled"))
-
-
 @query("k05_bulk_cells", "auto", "SELECT doc_id AS table_id, seq AS row_no, 0 AS column_no, clause_id || chr(9) || requirement AS text FROM auto")
 def _(q: Views) -> DataFrame:
     rows = q.auto.withColumns({"table_id": F.col("doc_id"), "row_no": F.col("seq")})

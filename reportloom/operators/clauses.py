@@ -60,21 +60,30 @@ def blocks(lines: DataFrame, keys: list[str], order: list[str], start: Column, c
 
 
 def page_sections(lines: DataFrame) -> DataFrame:
-    """Diagram text of each report: from a marker line on; a clause header ends the section and the rest of its page.
+    """Diagram lines of each report: from a marker line on; a clause header ends the section and the rest of its page.
 
-    One ordered fold per report, over the few flags of its lines, so pages of a report stay together.
+    The lines of a page take the state at its start, outside or inside, to the state at its end; that map has four forms. A report's
+    state before a page is the last map that does not depend on its start, turned once for every page since that turns it. So two
+    windows, over the lines of a page and the pages of a report, do for a walk through all lines, and no text is carried along.
+    Returns (rep_id, page_number, line_no, line) of the lines that are kept, trimmed; marker lines and blank lines are not.
     """
-    flagged = lines.withColumns({"on": F.upper("line").rlike("ENERGY SOURCES? DIAGRAM").cast("int"), "off": F.upper("line").rlike("CLAUSE.*VERDICT").cast("int")})
-    rows = F.array_sort(F.collect_list(F.struct("page_number", "line_no", "on", "off", "line")))
-    state = F.struct(F.lit(False).alias("inside"), F.lit(-1).alias("cut"), F.array().cast("array<string>").alias("kept"))
-
-    def step(s: Column, r: Column) -> Column:
-        made = lambda inside, cut, kept: F.struct(inside.alias("inside"), cut.alias("cut"), kept.alias("kept"))
-        ends = s["inside"] & (r["off"] == 1)
-        return (
-            F.when(s["cut"] == r["page_number"], s).when(r["on"] == 1, made(F.lit(True), s["cut"], s["kept"])).when(ends, made(F.lit(False), r["page_number"], s["kept"]))
-            .when(s["inside"] & (F.trim(r["line"]) != ""), made(s["inside"], s["cut"], F.concat(s["kept"], F.array(F.trim(r["line"]))))).otherwise(s)
-        )
-
-    # only lines of pages from the first marker on can be kept
-    return flagged.groupBy("rep_id").agg(rows.alias("rows")).where(F.exists("rows", lambda r: r["on"] == 1)).select("rep_id", F.aggregate("rows", state, step)["kept"].alias("kept"))
+    flags = lines.withColumns({"on": F.upper("line").rlike("ENERGY SOURCES? DIAGRAM"), "off": F.upper("line").rlike("CLAUSE.*VERDICT")})
+    flags = flags.withColumn("off", F.col("off") & ~F.col("on"))
+    page = ["rep_id", "page_number"]
+    upto = Window.partitionBy(*page).orderBy("line_no")
+    before = upto.rowsBetween(Window.unboundedPreceding, -1)
+    flags = flags.withColumn("on_before", F.coalesce(F.max("on").over(before), F.lit(False)))
+    # the first end of a section that was open at the page's start, and of one that began on it
+    flags = flags.withColumns({"shut": F.coalesce(F.max("off").over(upto), F.lit(False)), "shut_own": F.coalesce(F.max(F.col("off") & F.col("on_before")).over(upto), F.lit(False))})
+    pages = flags.groupBy(*page).agg(F.max("on").alias("on"), F.max("shut").alias("shut"), F.max("shut_own").alias("shut_own"))
+    pages = pages.select(*page, (F.col("on") & ~F.col("shut_own")).alias("from_outside"), (~F.col("shut")).alias("from_inside"))
+    same, turned = F.col("from_outside") == F.col("from_inside"), F.col("from_outside") & ~F.col("from_inside")
+    order = Window.partitionBy("rep_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pages = pages.withColumn("turns", F.sum(turned.cast("int")).over(order))
+    fixed = F.last(F.when(same, F.struct(F.col("from_outside").alias("state"), "turns")), ignorenulls=True).over(order)
+    pages = pages.withColumn("fixed", fixed)
+    odd = (F.col("turns") - F.coalesce("fixed.turns", F.lit(0))) % 2 == 1
+    end = F.coalesce("fixed.state", F.lit(False)) != odd
+    pages = pages.withColumn("end", end).select(*page, F.coalesce(F.lag("end").over(Window.partitionBy("rep_id").orderBy("page_number")), F.lit(False)).alias("inside"))
+    inside = F.when(F.col("inside"), ~F.col("shut")).otherwise(F.col("on_before") & ~F.col("shut_own"))
+    return flags.join(pages, page).where(inside & ~F.col("on") & (F.trim("line") != "")).select(*page, "line_no", F.trim("line").alias("line"))

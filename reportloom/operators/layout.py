@@ -5,25 +5,63 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reportloom.operators.lineage import cut
+
 #: Line tolerance, header word gap and least header width as a share of the page. Fixed values.
 TOLERANCE, GAP, HEADER_WIDTH = 3.0, 6.0, 0.3
 
 
-def group_lines(words: DataFrame, keys: list[str], tolerance: float = TOLERANCE) -> DataFrame:
+def group_lines(words: DataFrame, keys: list[str], tolerance: float = TOLERANCE, long_keys: bool = False) -> DataFrame:
     """Adds the line number of each word: a word joins the line while its top is within ``tolerance`` of the line's first.
 
-    A fold over the sorted tops of a page; a session by gaps would give other lines.
+    A line's first top is its anchor, and the next anchor the first top beyond it by more than the tolerance; a session by gaps
+    would give other lines. A page's anchors come from one fold over its tops. With ``long_keys`` they come from pointer doubling:
+    as many joins as the logarithm of a key's number of lines, and no state that grows with the key. Null tops have no line.
     """
-    tops = words.groupBy(*keys).agg(F.array_sort(F.collect_set("top")).alias("tops"))
-    state = F.struct(F.lit(-1e300).alias("anchor"), F.lit(-1).alias("n"), F.array().cast("array<struct<top:double,n:int>>").alias("out"))
+    tops = words.select(*keys, "top").where("top is not null").distinct()
+    anchors = (_anchors_doubling if long_keys else _anchors_fold)(tops, keys, tolerance)
+    marked = words.join(anchors.withColumn("__anchor", F.lit(1)), [*keys, "top"], "left")
+    upto = F.sum("__anchor").over(Window.partitionBy(*keys).orderBy(F.asc_nulls_first("top")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    # words of an anchor's top are peers, of which one or all carry the mark
+    first = F.row_number().over(Window.partitionBy(*keys, "top").orderBy(F.lit(0)))
+    marked = marked.withColumn("__anchor", F.when(first == 1, F.col("__anchor")))
+    return marked.withColumn("line", F.when(F.col("top").isNotNull(), (upto - 1).cast("int"))).drop("__anchor")
+
+
+def _anchors_fold(tops: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+    """One pass over the sorted tops of a key; the state is the last anchor and grows by one number a line."""
+    state = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("all"))
 
     def step(s: Column, top: Column) -> Column:
-        new = F.abs(top - s["anchor"]) > tolerance
-        n = F.when(new, s["n"] + 1).otherwise(s["n"])
-        return F.struct(F.when(new, top).otherwise(s["anchor"]).alias("anchor"), n.alias("n"), F.concat(s["out"], F.array(F.struct(top.alias("top"), n.alias("n")))).alias("out"))
+        far = s["last"].isNull() | (F.abs(top - s["last"]) > tolerance)
+        return F.when(far, F.struct(top.alias("last"), F.array_append(s["all"], top).alias("all"))).otherwise(s)
+
+    sorted_tops = tops.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col("top").cast("double"))).alias("tops"))
+    return sorted_tops.select(*keys, F.explode(F.aggregate("tops", state, step)["all"]).alias("top"))
 
-    lines = tops.select(*keys, F.explode(F.aggregate("tops", state, step)["out"]).alias("x")).select(*keys, "x.top", F.col("x.n").alias("line"))
-    return words.join(lines, [*keys, "top"])
+
+def _anchors_doubling(tops: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+    """Tops that are reached from the first top of their key by pointers to the first top beyond the tolerance.
+
+    After k rounds the pointers lead 2^k lines on and the first 2^k anchors are marked. Differences near the tolerance are
+    compared as they are, since a range frame would add instead of subtract and round another way.
+    """
+    slack = 1e-6 * max(1.0, tolerance)
+    over = f"OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)} ORDER BY top"
+    near = F.expr(f"collect_list(top) {over} RANGE BETWEEN {tolerance - slack:.17g}D FOLLOWING AND {tolerance + slack:.17g}D FOLLOWING)")
+    # from the far end, since frames that end with the key are computed anew for each row
+    far = F.expr(f"last(top) {over} DESC RANGE BETWEEN UNBOUNDED PRECEDING AND {tolerance + slack:.17g}D PRECEDING)")
+    first = F.expr(f"min(top) OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)})")
+    rows = tops.withColumn("top", F.col("top").cast("double")).select("*", near.alias("near"), far.alias("far"), first.alias("first"))
+    close = F.array_min(F.filter("near", lambda t: t - F.col("top") > tolerance))
+    rows = cut(rows.select(*keys, "top", F.coalesce(close, "far").alias("to"), (F.col("top") == F.col("first")).alias("start")).withColumn("marked", F.col("start")))
+    # a key is done when the pointer of its first top leads beyond the last line
+    while not rows.where("start and to is not null").isEmpty():
+        reached = rows.where("marked and to is not null").select(*keys, F.col("to").alias("top")).withColumn("hit", F.lit(True))
+        further = rows.select(*keys, F.col("top").alias("to"), F.col("to").alias("next"))
+        rows = rows.join(reached, [*keys, "top"], "left").join(further, [*keys, "to"], "left")
+        rows = cut(rows.select(*keys, "top", F.col("next").alias("to"), "start", (F.col("marked") | F.coalesce("hit", F.lit(False))).alias("marked")))
+    return rows.where("marked").select(*keys, "top")
 
 
 def merge_header_words(words: DataFrame, keys: list[str], gap: float = GAP) -> DataFrame:

@@ -229,16 +229,40 @@ def _(q: Views) -> DataFrame:
     return q.rows_.select("doc_id", "seq", F.max((F.get("cells", F.lit(0)) == "Clause").cast("int")).over(w).alias("inside"))
 
 
-query("w03_diagram_sections")(lambda q: cl.page_sections(q.lines).select("rep_id", F.size("kept").alias("n_lines"), F.md5(F.array_join("kept", "\n")).alias("digest")))
+#: Line after line: state 0 outside, 1 inside, 2 on the rest of the page that ended the section.
+_WALK = """numbered AS (SELECT rep_id, page_number, line, upper(line) LIKE '%ENERGY SOURCE DIAGRAM%' OR upper(line) LIKE '%ENERGY SOURCES DIAGRAM%' AS is_on, regexp_matches(upper(line), 'CLAUSE.*VERDICT') AS is_off, row_number() OVER (PARTITION BY rep_id ORDER BY page_number, line_no) AS n FROM lines),
+walk AS (SELECT rep_id, 0::BIGINT AS n, 0 AS page_number, 0 AS state, '' AS line, false AS kept FROM (SELECT DISTINCT rep_id FROM lines)
+  UNION ALL SELECT x.rep_id, x.n, x.page_number, CASE WHEN w.state = 2 AND w.page_number = x.page_number THEN 2 WHEN x.is_on THEN 1 WHEN w.state = 1 AND x.is_off THEN 2 WHEN w.state = 1 THEN 1 ELSE 0 END, trim(x.line),
+   NOT (w.state = 2 AND w.page_number = x.page_number) AND NOT x.is_on AND w.state = 1 AND NOT x.is_off AND trim(x.line) <> '' FROM walk w JOIN numbered x ON x.rep_id = w.rep_id AND x.n = w.n + 1)"""
 
 
-@query("w04_line_grouping", "pages_ lines boxes", "SELECT rep_id, page_number, line_no, count(*) AS n_words, CAST(line_no - (SELECT min(x.line_no) FROM boxes x WHERE x.rep_id = b.rep_id AND x.page_number = b.page_number) AS INT) * 0 + CAST(dense_rank() OVER (PARTITION BY rep_id, page_number ORDER BY line_no) - 1 AS INT) AS line FROM boxes b GROUP BY rep_id, page_number, line_no")
+@query("w03_diagram_sections", "pages_ lines", "SELECT rep_id, count(*) AS n_lines, md5(string_agg(line, chr(10) ORDER BY n)) AS digest FROM walk WHERE kept GROUP BY 1", _WALK)
 def _(q: Views) -> DataFrame:
-    """Boxes of a text line differ by at most 2 in their tops and lines by 12, so that lines come back as they were."""
+    parts = F.array_sort(F.collect_list(F.struct("page_number", "line_no", "line")))
+    return cl.page_sections(q.lines).groupBy("rep_id").agg(F.count("*").alias("n_lines"), F.md5(F.array_join(F.transform(parts, lambda p: p["line"]), "\n")).alias("digest"))
+
+
+#: Anchors one after another: the first top of a key, then always the first top beyond the last one by more than the tolerance.
+_ANCHORS = """tops AS (SELECT DISTINCT {key}, top FROM {rows}), anchors AS (SELECT {key}, min(top) AS top, 0 AS line FROM tops GROUP BY {key}
+  UNION ALL SELECT {cols}, min(t.top), any_value(a.line) + 1 FROM anchors a JOIN tops t ON {same} AND t.top - a.top > 3.0 GROUP BY {cols})"""
+_PAGE_ANCHORS = _ANCHORS.format(key="rep_id, page_number", cols="t.rep_id, t.page_number", same="t.rep_id = a.rep_id AND t.page_number = a.page_number", rows="boxes")
+_KEY_ANCHORS = _ANCHORS.format(key="l_returnflag", cols="t.l_returnflag", same="t.l_returnflag = a.l_returnflag", rows="(SELECT l_returnflag, l_extendedprice / 200 AS top FROM lineitem)")
+
+
+@query("w04_line_grouping", "pages_ lines boxes", "SELECT b.rep_id, b.page_number, b.line_no, CAST(a.line AS INT) AS line, count(*) AS n_words FROM boxes b ASOF JOIN anchors a ON a.rep_id = b.rep_id AND a.page_number = b.page_number AND a.top <= b.top GROUP BY ALL", _PAGE_ANCHORS)
+def _(q: Views) -> DataFrame:
+    """Lines of the word boxes of each page."""
     lines = lay.group_lines(q.boxes, ["rep_id", "page_number"])
     return lines.groupBy("rep_id", "page_number", "line_no", "line").agg(F.count("*").alias("n_words"))
 
 
+@query("w04_long_keys", "", "SELECT p.l_returnflag, CAST(a.line AS INT) AS line, min(p.top) AS first_top, count(*) AS n FROM (SELECT l_returnflag, l_extendedprice / 200 AS top FROM lineitem) p ASOF JOIN anchors a ON a.l_returnflag = p.l_returnflag AND a.top <= p.top GROUP BY ALL", _KEY_ANCHORS)
+def _(q: Views) -> DataFrame:
+    """Groups of prices under the same rule, where a key holds a third of all rows: first price and number of rows of each."""
+    prices = q.table("lineitem").select("l_returnflag", (F.col("l_extendedprice") / 200).alias("top"))
+    return lay.group_lines(prices, ["l_returnflag"], long_keys=True).groupBy("l_returnflag", "line").agg(F.min("top").alias("first_top"), F.count("*").alias("n"))
+
+
 _LINE = ["rep_id", "page_number", "line_no"]
 CTES["spread"] = "spread AS (SELECT rep_id, page_number, line_no, word_no, text, x0 + 7 * (word_no // 3) AS x0, x1 + 7 * (word_no // 3) AS x1, top, bottom FROM boxes WHERE line_no = 0)"
 CTES["cells_"] = "cells_ AS (SELECT rep_id, page_number, line_no, cell, string_agg(text, ' ' ORDER BY x0, word_no) AS text, min(x0) AS x0, max(x1) AS x1 FROM (SELECT *, sum(CASE WHEN prev IS NULL OR x0 - prev > 6 THEN 1 ELSE 0 END) OVER (PARTITION BY rep_id, page_number, line_no ORDER BY x0, word_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cell FROM (SELECT *, max(x1) OVER (PARTITION BY rep_id, page_number, line_no ORDER BY x0, word_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM spread)) GROUP BY 1, 2, 3, 4)"

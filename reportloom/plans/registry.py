@@ -13,8 +13,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def with_ctes(names: str, sql: str) -> str:
-    """``sql`` under the named views and those that they read."""
+def with_ctes(names: str, sql: str, more: str = "") -> str:
+    """``sql`` under the named views and those that they read, and under further, possibly recursive ones."""
     wanted: list[str] = []
 
     def add(name: str) -> None:
@@ -26,16 +26,17 @@ def with_ctes(names: str, sql: str) -> str:
 
     for name in names.split():
         add(name)
-    return ("WITH " + ", ".join(CTES[n] for n in wanted) + " " + sql) if wanted else sql
+    views = [CTES[n] for n in wanted] + ([more] if more else [])
+    return ("WITH RECURSIVE " if more else "WITH ") + ", ".join(views) + " " + sql if views else sql
 
 
-def query(name: str, ctes: str = "", sql: str | None = None):
-    """Registers f(views) under ``name``; ``ctes`` are the report views that ``sql`` reads."""
+def query(name: str, ctes: str = "", sql: str | None = None, more: str = ""):
+    """Registers f(views) under ``name``; ``ctes`` are the report views that ``sql`` reads, ``more`` its own."""
 
     def register(f: Callable[[Views], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: f(Views(spark, sf_dir))
         if sql:
-            ORACLES[name] = with_ctes(ctes, sql)
+            ORACLES[name] = with_ctes(ctes, sql, more)
         return f
 
     return register

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Gates of coverage, verdict match and appended fill. Fixed values.
 GATES = {"coverage": 0.99, "verdict_match": 0.995, "appended_fill": 0.9}
@@ -55,12 +51,6 @@ def by_position(auto: DataFrame, human: DataFrame) -> DataFrame:
     return diff.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("position"))).where("n <= 5").drop("n")
 
 
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio as difflib has it; 1 for two empty texts, 0 for one."""
-    return pd.Series([1.0 if not x and not y else 0.0 if not x or not y else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a.fillna(""), b.fillna(""), strict=True)])
-
-
 def composite(a: Column, b: Column, raw: Column, normal: Column, keyword: Column) -> Column:
     """The better ratio, raised if the shorter text lies in the longer (0.4), begins it (0.3), or keywords overlap."""
     base = F.greatest(raw, normal)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportloom.functions import text as t
+from reportloom.functions.similarity import sequence_ratio
 from reportloom.functions.verdicts import chapter, chapter_compare, natural_key
 from reportloom.operators import compare as c
+from reportloom.operators.synonyms import SYNONYMS, apply_synonyms
 from reportloom.plans.bindings import Views, first_rows
+from reportloom.plans.q_scalars import KEYWORDS, MAIN
 from reportloom.plans.registry import query
 
 FIRST = "auto auto_norm auto_first human human_norm human_first"
@@ -226,6 +231,30 @@ def _(q: Views) -> DataFrame:
     return first_rows(q.auto_norm, ["doc_id", "clause_id", "verdict"], "seq").select("doc_id", "clause_id", "verdict", "seq")
 
 
+def _ratios(pairs: str) -> str:
+    """Shared characters of all pairs (p, a, b): the longest common run within bounds, the first of equals, then on both sides of it.
+
+    The texts are below the length from which popular characters begin no run.
+    """
+    return f"""prs AS ({pairs}), chars AS (SELECT p, x.i, y.j, x.i - y.j AS diagonal FROM (SELECT p, unnest(range(length(a))) AS i, unnest(string_split(a, '')) AS c FROM prs WHERE a <> '') x JOIN (SELECT p, unnest(range(length(b))) AS j, unnest(string_split(b, '')) AS c FROM prs WHERE b <> '') y USING (p, c)),
+common AS (SELECT p, i, j, count(*) OVER (PARTITION BY p, diagonal, isle ORDER BY i DESC) AS run FROM (SELECT *, i - row_number() OVER (PARTITION BY p, diagonal ORDER BY i) AS isle FROM chars)),
+parts AS (SELECT p, 0::BIGINT AS alo, length(a)::BIGINT AS ahi, 0::BIGINT AS blo, length(b)::BIGINT AS bhi, 0::BIGINT AS size FROM prs
+  UNION ALL SELECT p, unnest([alo, i + k]), unnest([i, ahi]), unnest([blo, j + k]), unnest([j, bhi]), unnest([k, 0]) FROM (
+    SELECT s.p, alo, ahi, blo, bhi, i, j, least(run, ahi - i, bhi - j) AS k FROM parts s JOIN common c ON c.p = s.p AND i >= alo AND i < ahi AND j >= blo AND j < bhi
+    QUALIFY row_number() OVER (PARTITION BY s.p, alo, blo ORDER BY least(run, ahi - i, bhi - j) DESC, i, j) = 1)),
+ratios AS (SELECT p, CASE WHEN a = b THEN 1.0::DOUBLE WHEN a = '' OR b = '' THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * sum(size) / (length(a) + length(b)) END AS ratio FROM parts JOIN prs USING (p) GROUP BY p, a, b)"""
+
+
+_counted = "counted AS (SELECT *, row_number() OVER () AS k FROM (SELECT zh, zh2, count(*) AS n FROM sample GROUP BY zh, zh2))"
+_syn = lambda text: reduce(lambda sql, s: f"replace({sql}, '{s[0]}', '{s[1]}')", dict(SYNONYMS).items(), text)
+_mains = f"mains AS (SELECT *, {_syn('a')} AS an, {_syn('b')} AS bn FROM (SELECT k, zh, zh2, n, {MAIN.format('zh')} AS a, {MAIN.format('zh2')} AS b FROM counted))"
+_similar = f"""{_counted}, {_mains}, {_ratios("SELECT 2 * k AS p, a, b FROM mains UNION ALL SELECT 2 * k + 1, an, bn FROM mains")},
+scored AS (SELECT zh, zh2, n, an, bn, base, regexp_replace(CASE WHEN length(an) <= length(bn) THEN an ELSE bn END, '[:\\s。，、]', '', 'g') AS s, regexp_replace(CASE WHEN length(an) <= length(bn) THEN bn ELSE an END, '[:\\s。，、]', '', 'g') AS g,
+  coalesce(CAST(len(list_intersect(k1, k2)) AS DOUBLE) / nullif(len(list_distinct(list_concat(k1, k2))), 0), 0) AS kw FROM (
+  SELECT m.*, greatest(r.ratio, v.ratio) AS base, list_filter({KEYWORDS.format('an')}, lambda x: x <> '') AS k1, list_filter({KEYWORDS.format('bn')}, lambda x: x <> '') AS k2 FROM mains m JOIN ratios r ON r.p = 2 * k JOIN ratios v ON v.p = 2 * k + 1)),
+similar_ AS (SELECT zh, zh2, n, round(CASE WHEN an = '' AND bn = '' THEN 1.0 WHEN an = '' OR bn = '' THEN 0.0 ELSE least(1.0, CASE WHEN length(s) >= 2 AND contains(g, s) THEN base + 0.4 WHEN length(s) >= 2 AND starts_with(g, substring(s, 1, 6)) THEN base + 0.3 WHEN kw > 0.15 THEN base + 0.45 * kw ELSE base END) END, 6) AS similarity FROM scored)"""
+
+
 def _pairs(q: Views) -> DataFrame:
     """Distinct pairs of texts, so that each goes to Python once."""
     pairs = q.sample.groupBy("zh", "zh2").agg(F.count("*").alias("n"))
@@ -233,19 +262,17 @@ def _pairs(q: Views) -> DataFrame:
 
 
 def _scored(q: Views) -> DataFrame:
-    from reportloom.operators.synonyms import apply_synonyms
-
-    p = _pairs(q).withColumns({"an": apply_synonyms(F.col("a")), "bn": apply_synonyms(F.col("b"))}).repartition(8, "zh")
-    p = p.withColumns({"raw": c.sequence_ratio("a", "b"), "normal": c.sequence_ratio("an", "bn")})
+    p = _pairs(q).withColumns({"an": apply_synonyms(F.col("a")), "bn": apply_synonyms(F.col("b"))})
+    p = p.withColumns({"raw": sequence_ratio("a", "b"), "normal": sequence_ratio("an", "bn")})
     keyword = t.jaccard(t.keywords(F.col("an")), t.keywords(F.col("bn")))
     return p.withColumn("similarity", F.round(c.composite(F.col("an"), F.col("bn"), F.col("raw"), F.col("normal"), keyword), 6))
 
 
-query("x24_sequence_ratio")(lambda q: _pairs(q).select("zh", "zh2", "n", F.round(c.sequence_ratio("zh", "zh2"), 6).alias("ratio")))
-query("x25_composite_similarity")(lambda q: _scored(q).select("zh", "zh2", "n", "similarity"))
+query("x24_sequence_ratio", "sample", "SELECT zh, zh2, n, round(ratio, 6) AS ratio FROM counted JOIN ratios ON p = k", f"{_counted}, {_ratios('SELECT k AS p, zh AS a, zh2 AS b FROM counted')}")(lambda q: _pairs(q).select("zh", "zh2", "n", F.round(sequence_ratio("zh", "zh2"), 6).alias("ratio")))
+query("x25_composite_similarity", "sample", "SELECT * FROM similar_", _similar)(lambda q: _scored(q).select("zh", "zh2", "n", "similarity"))
 
 
-@query("a10_mean_similarity")
+@query("a10_mean_similarity", "sample", "SELECT round(sum(similarity * n) / sum(n), 6) AS mean, CAST(coalesce(sum(n) FILTER (similarity >= 0.8), 0) AS BIGINT) AS high, CAST(coalesce(sum(n) FILTER (similarity >= 0.5 AND similarity < 0.8), 0) AS BIGINT) AS middle, CAST(coalesce(sum(n) FILTER (similarity < 0.5), 0) AS BIGINT) AS low FROM similar_", _similar)
 def _(q: Views) -> DataFrame:
     """Mean similarity of all pairs and how many lie at 0.8 or more, between, and below 0.5."""
     s, n = F.col("similarity"), F.col("n")

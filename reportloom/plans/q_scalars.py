@@ -43,10 +43,10 @@ _scalar("x18_collapse_lower", "phrase", t.plain, r"lower(trim(regexp_replace(phr
 _scalar("x19_unify_text", "zh", t.unified, r"lower(translate(trim(regexp_replace(zh, '\s+', ' ', 'g')), '–—', '--'))")
 _scalar("x20_comparable_text", "phrase", t.comparable, _comparable.format("phrase"))
 _stops = ", ".join(f"'{s}'" for s in t.STOPS)
-_main = rf"(SELECT array_to_string(CASE WHEN k = 0 THEN ws[1:5] ELSE ws[1:least(k, 8)] END, ' ') FROM (SELECT ws, coalesce(list_min(list_filter(list_transform(range(1, len(ws) + 1), lambda i: CASE WHEN len(list_filter([{_stops}], lambda s: starts_with(ws[i], s))) > 0 THEN i - 1 END), lambda x: x IS NOT NULL)), len(ws)) AS k FROM (SELECT list_filter(string_split(trim(regexp_replace(regexp_replace(string_split(regexp_replace(" + _comparable + r", '\([^)]*\)', '', 'g'), ':')[1], '^表格\s*', ''), '\s+', ' ', 'g')), ' '), lambda w: w <> '') AS ws)))"
-_scalar("x21_main_requirement", "zh", t.main_requirement, _main.format("zh"))
-_kw = r"(SELECT list_sort(list_distinct(list_concat(list_transform(range(1, length(k) - 2), lambda i: substring(k, i, 4)), list_transform(range(1, length(k) - 1), lambda i: substring(k, i, 3)), list_transform(range(1, length(k)), lambda i: substring(k, i, 2))))) FROM (SELECT regexp_replace({0}, '[:\s。，、（）()0-9\-.\[\]…]', '', 'g') AS k))"
-_scalar("x23_keywords", "zh", lambda c: F.array_join(F.array_sort(t.keywords(c)), "|"), "array_to_string(list_filter(" + _kw.format("zh") + ", lambda x: x <> ''), '|')")
+MAIN = rf"(SELECT array_to_string(CASE WHEN k = 0 THEN ws[1:5] ELSE ws[1:least(k, 8)] END, ' ') FROM (SELECT ws, coalesce(list_min(list_filter(list_transform(range(1, len(ws) + 1), lambda i: CASE WHEN len(list_filter([{_stops}], lambda s: starts_with(ws[i], s))) > 0 THEN i - 1 END), lambda x: x IS NOT NULL)), len(ws)) AS k FROM (SELECT list_filter(string_split(trim(regexp_replace(regexp_replace(string_split(regexp_replace(" + _comparable + r", '\([^)]*\)', '', 'g'), ':')[1], '^表格\s*', ''), '\s+', ' ', 'g')), ' '), lambda w: w <> '') AS ws)))"
+_scalar("x21_main_requirement", "zh", t.main_requirement, MAIN.format("zh"))
+KEYWORDS = r"(SELECT list_sort(list_distinct(list_concat(list_transform(range(1, length(k) - 2), lambda i: substring(k, i, 4)), list_transform(range(1, length(k) - 1), lambda i: substring(k, i, 3)), list_transform(range(1, length(k)), lambda i: substring(k, i, 2))))) FROM (SELECT regexp_replace({0}, '[:\s。，、（）()0-9\-.\[\]…]', '', 'g') AS k))"
+_scalar("x23_keywords", "zh", lambda c: F.array_join(F.array_sort(t.keywords(c)), "|"), "array_to_string(list_filter(" + KEYWORDS.format("zh") + ", lambda x: x <> ''), '|')")
 _scalar("x27_shortened", "phrase", lambda c: F.concat(t.shortened(c, 12), F.lit("|"), F.substring(c, 1, 5)), "CASE WHEN length(phrase) > 12 THEN substring(phrase, 1, 12) || '...' ELSE phrase END || '|' || substring(phrase, 1, 5)")
 _scalar("x28_dry_run", "phrase", lambda c: F.concat(F.format_string("[DRY_RUN:%s] %s", F.lit("m"), c), F.lit("|"), F.format_string("[REFINED:%s] %s", F.lit("m"), c)), "'[DRY_RUN:m] ' || phrase || '|[REFINED:m] ' || phrase")
 _scalar("x30_first_of_list", "zh", lambda c: F.trim(F.split(F.replace(c, F.lit(" "), F.lit(" , ")), ",")[0]), "trim(string_split(replace(zh, ' ', ' , '), ',')[1])")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reportloom.functions.text import STYLE_RULES
+from reportloom.operators import glossary as gl
 from reportloom.operators import templates as tp
 from reportloom.operators import terms as te
 from reportloom.operators import titles as ti
@@ -58,9 +59,24 @@ _long = sorted(_GLOSS_TERMS, key=lambda t: (-len(t), t))
 
 @query("j12_term_occurrences", "", f"SELECT term, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_docs FROM (SELECT doc_id, lower(x) AS term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)({'|'.join(_long)})')) AS x FROM documents) GROUP BY 1, 2) GROUP BY 1")
 def _(q: Views) -> DataFrame:
-    """Occurrences of overlapping terms in all texts, longest first, without overlap."""
-    hits = q.table("documents").select("doc_id", F.explode(te.counts(F.col("text"), _GLOSS_TERMS)).alias("h"))
-    return hits.groupBy("h.term").agg(F.sum("h.n").alias("n"), F.count("*").alias("n_docs"))
+    """Occurrences of overlapping terms in all texts, from left to right, the longest at a place, without overlap."""
+    terms = gl.ranked(q.spark.createDataFrame([(w, "", 0, i) for i, w in enumerate(_GLOSS_TERMS)], "source_en string, target_zh string, priority int, pos int"))
+    docs = q.table("documents").select("doc_id", "text")
+    hits = docs.join(gl.occurrences(docs, terms), "text").select("doc_id", F.explode("hits.rank").alias("rank")).groupBy("rank").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+    return hits.join(terms, "rank").select(F.col("source_en").alias("term"), "n", "n_docs")
+
+
+@query("x14_glossary_of_words", "", """WITH g AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM conversations) WHERE length(w) >= 9),
+p AS (SELECT string_agg(w, '|' ORDER BY length(w) DESC, w) AS pattern FROM g), d AS (SELECT row_number() OVER () AS t, lower(text) AS low FROM (SELECT DISTINCT text FROM documents WHERE text <> ''))
+SELECT term, count(*) AS n, count(DISTINCT t) AS n_texts FROM (SELECT t, unnest(regexp_extract_all(low, (SELECT pattern FROM p))) AS term FROM d) GROUP BY term""")
+def _(q: Views) -> DataFrame:
+    """Words of nine letters or more of all conversations, as a glossary, in all texts."""
+    words = q.table("conversations").select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("i", "w"))
+    pos = F.col("i") + 1 + F.col("conv_id") * 1_000_000 + F.col("turn") * 10_000
+    terms = words.where("length(w) >= 9").groupBy(F.lower("w").alias("source_en")).agg(F.lit("").alias("target_zh"), F.count("*").alias("priority"), F.min(pos).alias("pos"))
+    ranked = gl.ranked(terms)
+    hits = gl.occurrences(q.table("documents"), ranked).select("text", F.explode("hits.rank").alias("rank")).groupBy("rank").agg(F.count("*").alias("n"), F.countDistinct(F.xxhash64("text")).alias("n_texts"))
+    return hits.join(ranked, "rank").select(F.col("source_en").alias("term"), "n", "n_texts")
 
 
 _TITLES = ["Drop test results", "9.6 something", "B.2 other", "ELECTRIC STRENGTH TESTS of", "unknown title", "Temperature measuring and Temperature measurements"]

@@ -21,37 +21,11 @@ SEGMENTS = {
 }
 
 
-def _first_capture(q: Views, pattern: str, pages: int | None = 5) -> DataFrame:
-    rows = q.pages_ if pages is None else q.pages_.where(F.col("page_number") <= pages)
-    value = F.trim(F.regexp_extract("text", pattern, 1))
-    return rows.groupBy("rep_id").agg(F.coalesce(F.min_by(value, F.when(value != "", F.col("page_number"))), F.lit("")).alias("value"))
-
-
-query("f01_basic_info_v1", "pages_", r"SELECT rep_id, coalesce(arg_min(v, page_number) FILTER (v <> ''), '') AS value FROM (SELECT *, regexp_extract(text, '(?i)Test\s+Report\s+No[\.:]?\s*([A-Z0-9\-]+)', 1) AS v FROM pages_ WHERE page_number <= 5) GROUP BY 1")(lambda q: _first_capture(q, r"(?i)Test\s+Report\s+No[\.:]?\s*([A-Z0-9\-]+)"))
-query("f02_basic_info_v2", "pages_", r"SELECT rep_id, coalesce(arg_min(v, page_number) FILTER (v <> ''), '') AS value FROM (SELECT *, trim(regexp_extract(text, '(?i)Model/Type\s+reference[.\s:]+([^\n]+)', 1)) AS v FROM pages_) GROUP BY 1")(lambda q: _first_capture(q, r"(?i)Model/Type\s+reference[.\s:]+([^\n]+)", None))
 query("f03_overview_page", "pages_", "SELECT rep_id, min(page_number) FILTER (contains(upper(text), 'OVERVIEW OF ENERGY SOURCES AND SAFEGUARDS') OR contains(upper(text), 'OVERVIEW OF SAFEGUARDS')) AS page FROM pages_ GROUP BY 1")(
     lambda q: q.pages_.groupBy("rep_id").agg(F.min(F.when(F.upper("text").rlike("OVERVIEW OF (ENERGY SOURCES AND )?SAFEGUARDS|ENERGY SOURCES AND SAFEGUARDS"), F.col("page_number"))).alias("page"))
 )
 
 
-@query("f04_overview_rows_v1", "rows_", r"""SELECT doc_id, seq, hazard, description FROM (SELECT doc_id, seq, coalesce(list_last(list_filter(cells, lambda c: regexp_matches(trim(c), '^\d+$'))), trim(cells[1])) AS hazard, CASE WHEN regexp_matches(trim(cells[2]), '^\d+$') THEN '' ELSE trim(cells[2]) END AS description FROM rows_ WHERE len(list_filter(cells, lambda c: c <> '')) > 0 AND cells[1] <> 'Clause') WHERE hazard <> '' OR description <> ''""".replace("list_last(", "list_aggregate(").replace("'^\\d+$'))), trim(cells[1]))", "'^\\d+$')), 'last'), trim(cells[1]))"))
-def _(q: Views) -> DataFrame:
-    """Any cell of digits is the hazard clause, the last of several; else the first cell. The second cell describes."""
-    digits = lambda c: F.trim(c).rlike(r"^\d+$")
-    number = F.try_element_at(F.filter("cells", digits), F.lit(-1))
-    second = F.get("cells", F.lit(1))
-    rows = q.rows_.where(F.exists("cells", lambda c: c != "") & (F.get("cells", F.lit(0)) != "Clause"))
-    rows = rows.select("doc_id", "seq", F.coalesce(number, F.trim(F.get("cells", F.lit(0)))).alias("hazard"), F.when(digits(second), "").otherwise(F.trim(second)).alias("description"))
-    return rows.where("hazard <> '' or description <> ''")
-
-
-@query("f05_overview_rows_v2", "rows_", r"SELECT doc_id, seq, trim(cells[1]) AS hazard, trim(cells[2]) AS description, coalesce(trim(cells[3]), '') AS safeguards FROM (SELECT doc_id, seq, list_slice(cells, 2, 4) AS cells FROM rows_) WHERE len(cells) >= 2 AND regexp_matches(trim(cells[1]), '^\d+$')")
-def _(q: Views) -> DataFrame:
-    cells = q.rows_.withColumn("cells", F.slice("cells", 2, 3))
-    at = lambda i: F.coalesce(F.trim(F.get("cells", F.lit(i))), F.lit(""))
-    return cells.where((F.size("cells") >= 2) & at(0).rlike(r"^\d+$")).select("doc_id", "seq", at(0).alias("hazard"), at(1).alias("description"), at(2).alias("safeguards"))
-
-
 def _segments(q: Views) -> DataFrame:
     tests = [F.when(F.expr(" or ".join(f"text rlike r'{p}'" for p in patterns)), F.lit(kind)) for kind, patterns in SEGMENTS.items()]
     return q.pages_.select("rep_id", "page_number", F.explode(F.array_compact(F.array(*tests))).alias("segment"))
@@ -213,11 +187,6 @@ def _(q: Views) -> DataFrame:
     return rows.groupBy("doc_id", "clause_id").agg(F.min_by("v", "seq").alias("first_verdict"), F.max_by("v", "seq").alias("last_verdict"))
 
 
-query("f25_validator_clauses", "rows_", "SELECT doc_id, seq, cells[1] AS clause_id, CASE WHEN len(cells) >= 4 THEN cells[len(cells)] ELSE '' END AS verdict FROM rows_ WHERE len(cells) >= 2 AND cells[1] <> 'Clause'")(
-    lambda q: q.rows_.where((F.size("cells") >= 2) & (F.get("cells", F.lit(0)) != "Clause")).select("doc_id", "seq", F.get("cells", F.lit(0)).alias("clause_id"), F.when(F.size("cells") >= 4, F.element_at("cells", -1)).otherwise("").alias("verdict"))
-)
-
-
 _HITS = """SELECT doc_id, clause_id, coalesce(arg_min(requirement, (pass, page_number, seq)) FILTER (requirement <> ''), '') AS requirement, coalesce(arg_min(result_remark, (pass, page_number, seq)) FILTER (result_remark <> ''), '') AS result_remark,
  coalesce(arg_min(verdict, (pass, page_number, seq)) FILTER (verdict NOT IN ('', '--')), max(verdict) FILTER (verdict = '--'), '') AS verdict, arg_min(page_number, (pass, page_number, seq)) AS page_number FROM hits GROUP BY 1, 2"""
 query("a06_merge_passes", "auto hits", _HITS)(lambda q: cl.merge_passes(q.hits, ["doc_id", "clause_id"], ["pass", "page_number", "seq"]))

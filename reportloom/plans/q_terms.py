@@ -170,15 +170,15 @@ CTES["reps"] = "reps AS (SELECT o_custkey AS doc_id, 'X' || max(o_orderpriority)
 CTES["tscores"] = """tscores AS (SELECT doc_id, template_id, pos, round(CASE WHEN len(patterns) = 0 THEN 0.2 WHEN contains(upper(trf), upper(patterns[1])) THEN 0.4 ELSE 0.0 END::DOUBLE + CASE WHEN len(expected) > 0 AND len(clauses) > 0 THEN 0.6::DOUBLE * (CAST(len(list_intersect(expected, clauses)) AS DOUBLE) / len(list_distinct(list_concat(expected, clauses)))) ELSE 0.3 END, 6) AS score FROM reps, tpls)"""
 
 
-def _scores(q: Views) -> DataFrame:
+def _choice(q: Views) -> tuple[DataFrame, DataFrame]:
     part = q.table("part").groupBy(F.col("p_brand").alias("template_id")).agg(F.min("p_partkey").alias("pos"), F.collect_set((F.col("p_size") % 10).cast("string")).alias("expected"))
     templates = part.withColumn("patterns", F.when(F.col("pos") % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.substring("template_id", 1, 7))))
     reports = q.table("orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.concat(F.lit("X"), F.max("o_orderpriority"), F.lit(" Brand#1")).alias("trf"), F.collect_set((F.col("o_orderkey") % 9).cast("string")).alias("clauses"))
-    return tp.scores(reports, templates)
+    return reports, templates
 
 
-query("a17_template_scores", "tpls reps tscores", "SELECT doc_id, template_id, score FROM tscores")(lambda q: _scores(q).select("doc_id", "template_id", "score"))
-query("o06_best_template", "tpls reps tscores", "SELECT doc_id, CASE WHEN score >= 0.5 THEN template_id END AS template_id, score FROM tscores QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) = 1")(lambda q: tp.best(_scores(q)))
+query("a17_template_scores", "tpls reps tscores", "SELECT doc_id, template_id, score FROM tscores")(lambda q: tp.scores(*_choice(q)).select("doc_id", "template_id", "score"))
+query("o06_best_template", "tpls reps tscores", "SELECT doc_id, CASE WHEN score >= 0.5 THEN template_id END AS template_id, score FROM tscores QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) = 1")(lambda q: tp.best_of(*_choice(q)))
 
 
 @query("k01_json_reports", "auto", """SELECT doc_id, '{"total_clauses":' || count(*) || ',"pages":' || count(DISTINCT page_number) || '}' AS json FROM auto GROUP BY 1""")

@@ -79,6 +79,10 @@ def _(q: Views) -> DataFrame:
     return hits.join(ranked, "rank").select(F.col("source_en").alias("term"), "n", "n_texts")
 
 
+query("o03_term_ranks", "", "SELECT p_partkey AS pos, p_name AS source_en, row_number() OVER (ORDER BY length(p_name) DESC, p_size DESC, p_partkey) AS rank FROM part")(
+    lambda q: te.ordered(q.table("part").select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("source_en"), F.col("p_size").alias("priority")), "pos").select("pos", "source_en", "rank")
+)
+
 _TITLES = ["Drop test results", "9.6 something", "B.2 other", "ELECTRIC STRENGTH TESTS of", "unknown title", "Temperature measuring and Temperature measurements"]
 _case = " ".join(f"WHEN contains(lower(title), '{p.lower()}') THEN '{i}'" for p, i in ti.TITLE_IDS)
 

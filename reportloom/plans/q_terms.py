@@ -126,6 +126,20 @@ def _(q: Views) -> DataFrame:
     return tr.translated(texts, TERMS).select("text", "n", "translated", "model")
 
 
+@query("l01_refined_translation", "sample", f"SELECT phrase AS text, count(*) AS n, CASE WHEN trim(phrase) = '' THEN phrase WHEN contains(phrase, '250') THEN 'again: ' || {_norm} ELSE {_restored(_norm)} END AS translated, contains(phrase, '250') AS was_refined, CASE WHEN trim(phrase) = '' THEN 0 WHEN contains(phrase, '250') THEN 110 ELSE 10 END::BIGINT AS prompt_tokens FROM sample GROUP BY phrase")
+def _(q: Views) -> DataFrame:
+    """A first pass that loses a digit of one number, and a second one for the texts in which the checks find that."""
+
+    def bulk(batch: list[str]) -> list[tuple[str, int, int]]:
+        return [(x.replace("250", "25"), 10, 10) for x in batch]
+
+    def refine(batch: list[tuple]) -> list[tuple[str, int, int]]:
+        return [(f"again: {source}", 100, 10) for source, _, _ in batch]
+
+    texts = q.sample.groupBy(F.col("phrase").alias("text")).agg(F.count("*").alias("n"))
+    return tr.refined(texts, TERMS, bulk, refine).select("text", "n", "translated", "was_refined", F.col("prompt_tokens").cast("long").alias("prompt_tokens"))
+
+
 query("l02_distinct_translation", "sample", f"SELECT count(*) AS segments, count(DISTINCT phrase) AS texts, count(DISTINCT {_restored('phrase')}) AS results FROM sample")(
     lambda q: tr.translated(q.sample.select(F.col("phrase").alias("text")), TERMS).agg(F.count("*").alias("segments"), F.countDistinct("text").alias("texts"), F.countDistinct("translated").alias("results"))
 )

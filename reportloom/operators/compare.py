@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reportloom.functions.similarity import sequence_ratio
+
 #: Gates of coverage, verdict match and appended fill. Fixed values.
 GATES = {"coverage": 0.99, "verdict_match": 0.995, "appended_fill": 0.9}
+#: Weights of the overall similarity, and the similarity below which contents differ. Fixed values.
+WEIGHTS = {"structure": 0.3, "content": 0.4, "verdicts": 0.3}
+ALIKE = 0.8
 
 
 def ratio(a: Column, b: Column, places: int = 6) -> Column:
@@ -63,3 +68,35 @@ def composite(a: Column, b: Column, raw: Column, normal: Column, keyword: Column
         .when(keyword > 0.15, base + 0.45 * keyword).otherwise(base)
     )
     return F.when((a == "") & (b == ""), 1.0).when((a == "") | (b == ""), 0.0).otherwise(F.least(F.lit(1.0), raised))
+
+
+def contents(auto: DataFrame, human: DataFrame) -> DataFrame:
+    """One row per clause that both sides hold: doc_id, clause_id, same_verdict, auto_text, human_text, similarity of their requirements.
+
+    Sides are (doc_id, clause_id, verdict, requirement) with one row per key; null texts are empty. Each pair of texts
+    goes to Python once, however many clauses have it.
+    """
+    side = lambda df, x: df.select("doc_id", "clause_id", F.col("verdict").alias(f"{x}_verdict"), F.coalesce("requirement", F.lit("")).alias(f"{x}_text"))
+    both = side(auto, "auto").join(side(human, "human"), ["doc_id", "clause_id"])
+    texts = ["auto_text", "human_text"]
+    scored = both.select(texts).distinct().withColumn("similarity", sequence_ratio(*texts))
+    same = F.col("auto_verdict").eqNullSafe(F.col("human_verdict")).alias("same_verdict")
+    return both.join(scored, texts).select("doc_id", "clause_id", same, *texts, "similarity")
+
+
+def overall(joined: DataFrame, pairs: DataFrame, alike: float = ALIKE) -> DataFrame:
+    """Structure, content, verdicts and their weighted sum for each document of ``joined`` (``matched``), given its ``contents``.
+
+    Structure is the share of the human clauses that are found, content the mean similarity of shared clauses, verdicts
+    the share of these that agree; each is 0 where there is nothing to divide by.
+    """
+    sums = pairs.groupBy("doc_id").agg(F.sum("similarity").alias("total"), F.count_if(F.col("similarity") < alike).alias("n_unlike"))
+    out = metrics(joined).join(sums, "doc_id", "left").withColumn("content", ratio(F.coalesce("total", F.lit(0.0)), F.col("n_common")))
+    weighted = WEIGHTS["structure"] * F.col("coverage") + WEIGHTS["content"] * F.col("content") + WEIGHTS["verdicts"] * F.col("match_rate")
+    return out.select("doc_id", F.col("coverage").alias("structure"), "content", F.col("match_rate").alias("verdicts"), F.coalesce("n_unlike", F.lit(0)).alias("n_unlike"), F.round(weighted, 5).alias("overall"))
+
+
+def lowest(pairs: DataFrame, k: int, below: float = ALIKE) -> DataFrame:
+    """The ``k`` least similar clauses of each document, those below ``below`` only, with their place; ties by clause id."""
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("similarity", "clause_id"))
+    return pairs.where(F.col("similarity") < below).withColumn("place", place).where(F.col("place") <= k)

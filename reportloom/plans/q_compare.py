@@ -284,3 +284,29 @@ def _(q: Views) -> DataFrame:
 def _(q: Views) -> DataFrame:
     pairs = q.sample.groupBy("zh", "zh2").agg(F.count("*").alias("n"))
     return pairs.select("zh", "zh2", "n", F.round(t.jaccard(t.keywords(F.col("zh")), t.keywords(F.col("zh2"))), 6).alias("jaccard"))
+
+
+_contents = f"""sides AS (SELECT doc_id, clause_id, a.verdict = h.verdict AS same, x.requirement AS ra, 'Requirement ' || h.seq % 50 || CASE WHEN h.seq % 3 = 0 THEN ' is met' ELSE '' END AS rh
+  FROM auto_first a JOIN human_first h USING (doc_id, clause_id) JOIN auto x ON x.doc_id = a.doc_id AND x.seq = a.seq),
+two AS (SELECT ra, rh, row_number() OVER (ORDER BY ra, rh) AS k FROM (SELECT DISTINCT ra, rh FROM sides)), {_ratios("SELECT k AS p, ra AS a, rh AS b FROM two")},
+clauses_ AS (SELECT s.*, ratio FROM sides s JOIN two t ON t.ra = s.ra AND t.rh = s.rh JOIN ratios ON p = k)"""
+
+
+def _contents_of(q: Views) -> DataFrame:
+    auto = q.auto_first.join(q.auto.select("doc_id", "seq", "requirement"), ["doc_id", "seq"])
+    wanted = F.concat(F.lit("Requirement "), (F.col("seq") % 50).cast("string"), F.when(F.col("seq") % 3 == 0, " is met").otherwise(""))
+    return c.contents(auto, q.human_first.withColumn("requirement", wanted))
+
+
+@query("a11_overall_similarity", "auto " + FIRST, """SELECT doc_id, structure, content, verdicts, coalesce(n_unlike, 0) AS n_unlike, round(0.3 * structure + 0.4 * content + 0.3 * verdicts, 5) AS overall FROM (
+  SELECT d.doc_id, n_unlike, round(coalesce(CAST(n AS DOUBLE) / nullif(n_human, 0), 0), 6) AS structure, round(coalesce(total / n, 0), 6) AS content, round(coalesce(CAST(n_same AS DOUBLE) / n, 0), 6) AS verdicts
+  FROM (SELECT doc_id, count(h.seq) AS n_human FROM auto_first a FULL JOIN human_first h USING (doc_id, clause_id) GROUP BY 1) d
+  LEFT JOIN (SELECT doc_id, count(*) AS n, count(*) FILTER (same) AS n_same, sum(ratio) AS total, count(*) FILTER (ratio < 0.8) AS n_unlike FROM clauses_ GROUP BY 1) s ON s.doc_id = d.doc_id)""", _contents)
+def _(q: Views) -> DataFrame:
+    return c.overall(c.matched(q.auto_first, q.human_first), _contents_of(q))
+
+
+@query("o04_lowest_of_report", "auto " + FIRST, "SELECT doc_id, clause_id, ra AS auto_text, rh AS human_text, round(ratio, 6) AS similarity, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ratio, clause_id) AS place FROM clauses_ WHERE ratio < 0.8) WHERE place <= 5", _contents)
+def _(q: Views) -> DataFrame:
+    """The five least similar clauses of each report: a limit that is the feature."""
+    return c.lowest(_contents_of(q), 5).select("doc_id", "clause_id", "auto_text", "human_text", F.round("similarity", 6).alias("similarity"), "place")

@@ -148,9 +148,13 @@ class Views:
 
     @cached_property
     def boxes(self) -> DataFrame:
-        """Word boxes: a character is 6 wide, a line 12 high; words of a line stand up to 2 lower."""
+        """Word boxes: a character is 6 wide, a line 12 high; words of a line stand up to 2 lower.
+
+        Lines are dealt by page before they become words, whose window then needs no shuffle of its own.
+        """
         line = ["rep_id", "page_number", "line_no"]
-        words = self.lines.select(*line, F.posexplode(F.filter(F.split("line", " "), lambda w: w != "")).alias("word_no", "text"))
+        dealt = self.lines.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "rep_id", "page_number")
+        words = dealt.select(*line, F.posexplode(F.filter(F.split("line", " "), lambda w: w != "")).alias("word_no", "text"))
         before = Window.partitionBy(*line).orderBy("word_no").rowsBetween(Window.unboundedPreceding, -1)
         x0 = F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))
         top = 12.0 * F.col("line_no") + F.col("word_no") % 3

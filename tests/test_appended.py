@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 
@@ -170,3 +171,16 @@ def test_one_long_key(spark):
     assert [[x["first"], x.n] for x in got] == want and len(want) > 2_000
 
 
+
+
+def test_many_columns_take_time_linear_in_words(spark):
+    """A header of 300 columns over 60 lines of 300 words: columns times columns times words would be 1.6 billion steps."""
+    words = [(1, 1, 0, "B.1", 0.0, 10.0, 0.0, 10.0), (1, 1, 1, "TABLE:", 12.0, 20.0, 0.0, 10.0), (1, 1, 2, "Wide", 24.0, 40.0, 0.0, 10.0)]
+    for line in range(61):
+        words += [(1, 1, 10 + 300 * line + k, f"h{k}" if not line else f"c{line}.{k}", 20.0 * k, 20.0 * k + 8, 20.0 * (line + 1), 20.0 * (line + 1) + 8) for k in range(300) if not line or k % 7 or line % 2]
+    pages = spark.createDataFrame([(1, 1, 6000.0)], "doc_id int, page_number int, width double")
+    began = time.time()
+    (got,) = appended.appended_tables(spark.createDataFrame(words, WORDS), pages, True).collect()
+    assert got["columns"] == [f"h{k}" for k in range(300)]
+    assert got["rows"] == [[f"c{line}.{k}" if k % 7 or line % 2 else "" for k in range(300)] for line in range(1, 61)]
+    assert time.time() - began < 60

@@ -75,7 +75,7 @@ def _(q: Views) -> DataFrame:
     pos = F.col("i") + 1 + F.col("conv_id") * 1_000_000 + F.col("turn") * 10_000
     terms = words.where("length(w) >= 9").groupBy(F.lower("w").alias("source_en")).agg(F.lit("").alias("target_zh"), F.count("*").alias("priority"), F.min(pos).alias("pos"))
     ranked = gl.ranked(terms)
-    hits = gl.occurrences(q.table("documents"), ranked).select("text", F.explode("hits.rank").alias("rank")).groupBy("rank").agg(F.count("*").alias("n"), F.countDistinct(F.xxhash64("text")).alias("n_texts"))
+    hits = gl.counts(q.table("documents"), ranked).groupBy("rank").agg(F.sum("n").alias("n"), F.count("*").alias("n_texts"))
     return hits.join(ranked, "rank").select(F.col("source_en").alias("term"), "n", "n_texts")
 
 

@@ -42,41 +42,50 @@ _TERM = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x
 _COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 
 
-def terms(text: bytes) -> Counter[bytes]:
-    """Occurrences of the terms of one text, slice by slice."""
-    found: Counter[bytes] = Counter()
+def _pieces(text: bytes) -> Iterator[list[bytes]]:
+    """The terms of one text in order, slice by slice."""
     at = 0
     while at < len(text):
         end = min(at + SLICE, len(text))
         while end < len(text) and _TERM[text[end]] != 0x20:
             end += 1
-        found.update(text[at:end].translate(_TERM).split())
+        yield text[at:end].translate(_TERM).split()
         at = end
+
+
+def terms(text: bytes) -> Counter[bytes]:
+    """Occurrences of the terms of one text."""
+    found: Counter[bytes] = Counter()
+    for piece in _pieces(text):
+        found.update(piece)
     return found
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of a task's texts; the empty term stands for the group itself."""
-    held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
+    """Partial counts of a task's texts, occurrences and texts apart; the empty term stands for the group itself."""
+    held: dict[tuple[str, str], tuple[Counter[bytes], Counter[bytes]]] = {}
     size = 0
 
     def handed() -> pa.RecordBatch:
-        rows = [(g[0], g[1], t.decode(), n, d) for g, counts in held.items() for t, (n, d) in counts.items()]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, _COUNTS, strict=True)], schema=_COUNTS)
+        parts = [[pa.array([], f.type) for f in _COUNTS]]
+        for g, (n, d) in held.items():
+            named = [pa.repeat(pa.scalar(x, pa.string()), len(n)) for x in g]
+            parts.append([*named, pa.array(list(n), pa.binary()).cast(pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([d[t] for t in n], pa.int64())])
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*parts, strict=True)], schema=_COUNTS)
 
     for b in batches:
         texts = b.column(2).cast(pa.large_binary())
         for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts, strict=True):
-            group = held.setdefault((lang, source), {b"": [0, 0]})
-            before = len(group)
-            for t, n in terms(text.as_buffer().to_pybytes()).items():
-                got = group.get(t)
-                if got is None:
-                    group[t] = [n, 1]
-                else:
-                    got[0] += n
-                    got[1] += 1
-            size += len(group) - before
+            if (lang, source) not in held:
+                held[lang, source] = (Counter({b"": 0}), Counter({b"": 0}))
+            n, d = held[lang, source]
+            before = len(n)
+            once: set[bytes] = set()
+            for piece in _pieces(text.as_buffer().to_pybytes()):
+                n.update(piece)
+                once.update(piece)
+            d.update(once)
+            size += len(n) - before
             if size > KEYS:
                 yield handed()
                 held, size = {}, 0

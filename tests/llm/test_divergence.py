@@ -1,7 +1,9 @@
 import random
 import re
+import time
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from helpers import against_sql, clashing, docs, edge_rows, prose
 
@@ -100,3 +102,40 @@ def test_sql(spark, tmp_path):
 
 def test_empty(spark):
     assert divergence(docs(spark, [])).count() == 0
+
+
+def partial_counts(rows: list[tuple]) -> tuple[list[pa.RecordBatch], float]:
+    batch = pa.record_batch([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["lang", "source", "text"])
+    began = time.process_time()
+    out = list(dv._count(iter([batch])))
+    return out, time.process_time() - began
+
+
+def test_partial_counts(monkeypatch):
+    monkeypatch.setattr(dv, "SLICE", 50)
+    monkeypatch.setattr(dv, "KEYS", 40)
+    rows = [(("en", "de")[i % 2], f"s{i % 3}", prose(30 * (i % 4), i % 9) + " Zé zé É") for i in range(40)] + [("", "", "")]
+    n, d = Counter(), Counter()
+    for lang, source, text in rows:
+        found = terms(text.encode())
+        n.update({(lang, source, t.decode()): k for t, k in found.items()})
+        d.update((lang, source, t.decode()) for t in found)
+        n[lang, source, ""] = d[lang, source, ""] = 0
+    got = pa.Table.from_batches(partial_counts(rows)[0])
+    assert len(got) > len(n)
+    sums = got.group_by(["lang", "source", "term"]).aggregate([("n", "sum"), ("docs", "sum")])
+    assert {(r["lang"], r["source"], r["term"]): (r["n_sum"], r["docs_sum"]) for r in sums.to_pylist()} == {k: (n[k], d[k]) for k in n}
+
+
+def test_partial_counts_take_no_step_of_python_for_each_term():
+    r = random.Random(3)
+    words = [f"w{''.join(r.choice('abcdefghij') for _ in range(6))}" for _ in range(30_000)]
+    rows = [("en", f"s{i % 20}", " ".join(words[int(30_000 * r.random() ** 3)] for _ in range(200))) for i in range(3000)]
+    took, plain = [], []
+    for _ in range(3):
+        took.append(partial_counts(rows)[1])
+        began = time.process_time()
+        for _, _, text in rows:
+            Counter(text.encode().translate(dv._TERM).split())
+        plain.append(time.process_time() - began)
+    assert min(took) < 7 * min(plain), min(took) / min(plain)

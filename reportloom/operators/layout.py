@@ -19,8 +19,8 @@ def group_lines(words: DataFrame, keys: list[str], tolerance: float = TOLERANCE,
     as many joins as the logarithm of a key's number of lines, and no state that grows with the key. Null tops have no line.
     """
     tops = words.select(*keys, "top").where("top is not null").distinct()
-    anchors = (_anchors_doubling if long_keys else _anchors_fold)(tops, keys, tolerance)
-    marked = words.join(anchors.withColumn("__anchor", F.lit(1)), [*keys, "top"], "left")
+    firsts = (_anchors_doubling if long_keys else _anchors_fold)(tops, keys, tolerance)
+    marked = words.join(firsts.withColumn("__anchor", F.lit(1)), [*keys, "top"], "left")
     upto = F.sum("__anchor").over(Window.partitionBy(*keys).orderBy(F.asc_nulls_first("top")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
     # words of an anchor's top are peers, of which one or all carry the mark
     first = F.row_number().over(Window.partitionBy(*keys, "top").orderBy(F.lit(0)))
@@ -28,16 +28,20 @@ def group_lines(words: DataFrame, keys: list[str], tolerance: float = TOLERANCE,
     return marked.withColumn("line", F.when(F.col("top").isNotNull(), (upto - 1).cast("int"))).drop("__anchor")
 
 
-def _anchors_fold(tops: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
-    """One pass over the sorted tops of a key; the state is the last anchor and grows by one number a line."""
+def anchors(tops: Column, tolerance: float = TOLERANCE) -> Column:
+    """The first tops of lines: one pass over sorted tops; the state is the last anchor and grows by one number a line."""
     state = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("all"))
 
     def step(s: Column, top: Column) -> Column:
         far = s["last"].isNull() | (F.abs(top - s["last"]) > tolerance)
         return F.when(far, F.struct(top.alias("last"), F.array_append(s["all"], top).alias("all"))).otherwise(s)
 
+    return F.aggregate(tops, state, step)["all"]
+
+
+def _anchors_fold(tops: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
     sorted_tops = tops.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col("top").cast("double"))).alias("tops"))
-    return sorted_tops.select(*keys, F.explode(F.aggregate("tops", state, step)["all"]).alias("top"))
+    return sorted_tops.select(*keys, F.explode(anchors("tops", tolerance)).alias("top"))
 
 
 def _anchors_doubling(tops: DataFrame, keys: list[str], tolerance: float) -> DataFrame:

@@ -184,3 +184,31 @@ def test_many_columns_take_time_linear_in_words(spark):
     assert got["columns"] == [f"h{k}" for k in range(300)]
     assert got["rows"] == [[f"c{line}.{k}" if k % 7 or line % 2 else "" for k in range(300)] for line in range(1, 61)]
     assert time.time() - began < 60
+
+
+def shuffled_per_word(spark, page_aware):
+    """Bytes of shuffle per word over 40 documents of 5 pages of 300 words, of which the second has a title."""
+    from pyspark.sql import functions as F
+
+    page, k = F.floor(F.col("id") / 300), F.col("id") % 300
+    x0, top = 20.0 * (k % 10), 12.0 * F.floor(k / 10) + k % 3
+    title = (page % 5 == 1) & (k < 2)
+    text = F.when(title & (k == 0), "TABLE:").when(title, "Drop").otherwise(F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 6))
+    words = spark.range(0, 60_000, 1, 4).select(
+        F.floor(page / 5).cast("int").alias("doc_id"), (page % 5 + 1).cast("int").alias("page_number"), k.cast("int").alias("word_no"), text.alias("text"), x0.alias("x0"), (x0 + 15).alias("x1"), top.alias("top"), (top + 9).alias("bottom")
+    )
+    pages = words.select("doc_id", "page_number", F.lit(200.0).alias("width")).distinct()
+    words = words.repartition(4, "doc_id", "page_number").cache()
+    words.count()
+    time.sleep(1)
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    got = appended.appended_tables(words, pages, page_aware).collect()
+    assert len(got) == 40 and all(x["columns"] and x["rows"] for x in got)
+    time.sleep(1)
+    words.unpersist()
+    return (written() - before) / 60_000
+
+
+def test_words_are_shuffled_packed_once(spark):
+    assert shuffled_per_word(spark, False) < 32

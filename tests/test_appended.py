@@ -212,3 +212,7 @@ def shuffled_per_word(spark, page_aware):
 
 def test_words_are_shuffled_packed_once(spark):
     assert shuffled_per_word(spark, False) < 32
+
+
+def test_words_are_shuffled_packed_once_by_page(spark):
+    assert shuffled_per_word(spark, True) < 32
